@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .repair import op4_repair_token_files
 from .token_counts import op7_token_counts
 
-QUERIES = {f.__name__: f for f in (op7_token_counts,)}
+QUERIES = {f.__name__: f for f in (op4_repair_token_files, op7_token_counts)}
 ORACLES: dict[str, str] = {}

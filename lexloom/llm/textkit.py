@@ -162,3 +162,52 @@ def crc_mod(doc_id, m: int) -> int:
     import zlib
 
     return zlib.crc32(str(doc_id).encode()) % m
+
+
+class HashIndex:
+    """An open-addressing table from 64-bit hashes to integers, looked up a whole array at a time."""
+
+    def __init__(self, size: int = 1 << 16):
+        self.used = 0
+        self._make(size)
+
+    def _make(self, size: int) -> None:
+        self.shift = np.uint64(65 - size.bit_length())
+        self.keys = np.zeros(size, np.uint64)
+        self.values = np.zeros(size, np.int64)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(_BASE) >> self.shift).astype(np.int64)
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Insert distinct new keys."""
+        keys = np.where(keys == 0, np.uint64(1), keys)
+        self.used += len(keys)
+        if self.used * 2 > len(self.keys):
+            old = self.keys > 0
+            keys, values = np.concatenate([self.keys[old], keys]), np.concatenate([self.values[old], values])
+            self._make(1 << int(3 * self.used).bit_length())
+        slot = self._slots(keys)
+        while len(keys):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[free]
+            done = self.keys[slot] == keys
+            self.values[slot[done]] = values[done]
+            keys, values, slot = keys[~done], values[~done], (slot[~done] + 1) & (len(self.keys) - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Values of keys; -1 where there is none."""
+        keys = np.where(keys == 0, np.uint64(1), keys)
+        slot = self._slots(keys)
+        cell, out = self.keys[slot], self.values[slot]
+        wrong = np.flatnonzero(cell != keys)
+        while len(wrong):
+            empty = cell[wrong] == 0
+            out[wrong[empty]] = -1
+            wrong = wrong[~empty]
+            slot[wrong] = (slot[wrong] + 1) & (len(self.keys) - 1)
+            cell[wrong] = self.keys[slot[wrong]]
+            hit = cell[wrong] == keys[wrong]
+            out[wrong[hit]] = self.values[slot[wrong[hit]]]
+            wrong = wrong[~hit]
+        return out
