@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .class_lm import op3_class_lm
 from .repair import op4_repair_token_files
 from .token_counts import op7_token_counts
 
-QUERIES = {f.__name__: f for f in (op4_repair_token_files, op7_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_class_lm, op4_repair_token_files, op7_token_counts)}
 ORACLES: dict[str, str] = {}
