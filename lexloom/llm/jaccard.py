@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from . import textkit
 from .components import connected_components
+from .sketches import bucket_bits, look, shared_buckets
 
 SHINGLE = 5
-SLICES = 64
 #: Most shingles of a region that one task joins.
 REGION = 6_000_000
 PIVOTS = 16
@@ -61,60 +61,6 @@ def unique(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
 
 
-def sketch(docs: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bitmaps over 2**bits buckets of shingles: held by two documents or more, and by many."""
-    low = bits - SLICES.bit_length() + 1  # bits of a bucket inside its slice
-
-    def emit(batches):
-        held, size = [], 0
-
-        def flush():
-            buckets = np.sort(np.concatenate(held) >> np.uint64(64 - bits))
-            cut = np.searchsorted(buckets >> np.uint64(low), np.arange(SLICES + 1))
-            inside = (buckets & np.uint64((1 << low) - 1)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, : (low + 7) // 8]
-            held.clear()
-            return pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "buckets": pa.array([inside[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())})
-
-        for batch in batches:
-            for _, _, offsets, data in textkit.segments(batch.column(0)):
-                sets = [x for x in shingle_sets(offsets, data) if len(x)]
-                if sets:
-                    held.append(np.concatenate(sets))
-                    size += len(held[-1])
-                    if size > 3_000_000:
-                        yield flush()
-                        size = 0
-        if held:
-            yield flush()
-
-    def add(batches):
-        width, counts = (low + 7) // 8, {}
-        for batch in batches:
-            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = np.frombuffer(blob.as_buffer(), np.uint8).reshape(-1, width)
-                at = np.zeros((len(raw), 4), np.uint8)
-                at[:, :width] = raw
-                at = at.reshape(-1).view("<u4") if len(raw) else np.zeros(0, np.uint32)
-                count = counts.setdefault(k, np.zeros(1 << low, np.uint16))
-                u, n = np.unique(at, return_counts=True)
-                count[u] = np.minimum(count[u].astype(np.int64) + n, 65535)
-        for k, count in counts.items():
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "shared": pa.array([np.packbits(count > 1).tobytes()], pa.binary()), "many": pa.array([np.packbits(count > 64).tobytes()], pa.binary())})
-
-    shared, many = np.zeros(1 << bits >> 3, np.uint8), np.zeros(1 << bits >> 3, np.uint8)
-    step = 1 << low >> 3
-    rows = docs.select("text").mapInArrow(emit, "slice int, buckets binary").repartition("slice").mapInArrow(add, "slice int, shared binary, many binary")
-    for k, a, b in rows.collect():  # SLICES rows of a fixed size
-        shared[k * step : (k + 1) * step] = np.frombuffer(a, np.uint8)
-        many[k * step : (k + 1) * step] = np.frombuffer(b, np.uint8)
-    return shared, many
-
-
-def sketch_bits(n_bytes: int) -> int:
-    """About one bucket for each shingle, 2**30 at most: both bitmaps take 256 MB then, and less below."""
-    return min(30, max(20, int(n_bytes / 6).bit_length()))
-
-
 def overlaps(linked_num: int, linked_den: int, common, a, b):
     """100 * intersection >= 75 * union, in whole numbers, for the given threshold."""
     return linked_den * common >= linked_num * (a + b - common)
@@ -245,8 +191,8 @@ def jaccard_groups(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
     textkit.on_workers(spark)
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = sketch_bits(n_bytes)
-    bitmaps = spark.sparkContext.broadcast(sketch(docs, bits))
+    bits = bucket_bits(n_bytes / 6)
+    bitmaps = spark.sparkContext.broadcast(shared_buckets(docs, lambda offsets, data: [*shingle_sets(offsets, data)], bits, 64))
 
     def nodes(batches):
         shared, many = bitmaps.value
@@ -262,15 +208,13 @@ def jaccard_groups(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
                         prefixes.append(None)
                         continue
                     node.append(int(textkit.mix(np.array([int(s.sum(dtype=np.uint64)) ^ int(np.bitwise_xor.reduce(textkit.mix(s))) * 3 + n & (1 << 64) - 1], np.uint64)).view(np.int64)[0]))
-                    bucket = s >> np.uint64(64 - bits)
-                    byte, bit = bucket >> np.uint64(3), (np.uint64(7) - (bucket & np.uint64(7))).astype(np.uint8)
-                    twice = shared[byte] >> bit & 1
+                    twice = look(shared, s, bits)
                     first = n - -(-num * n // den) + 1
                     if n - int(twice.sum()) >= first:
                         blobs.append(None)
                         prefixes.append(None)
                         continue
-                    level = twice + (many[byte] >> bit & 1)
+                    level = twice + look(many, s, bits)
                     order = np.argsort(level, kind="stable")[:first]
                     blobs.append(s.astype("<u8").tobytes())
                     prefixes.append(s[order[level[order] > 0]].view(np.int64).tolist())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .class_lm import op3_class_lm
+from .factors import op6_lpf_dedup
 from .jaccard import op10_jaccard_join
 from .repair import op4_repair_token_files
 from .token_counts import op7_token_counts
