@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from .class_lm import op3_class_lm
+from .decontaminate import op1_bm25_decontamination
 from .factors import op6_lpf_dedup
 from .jaccard import op10_jaccard_join
 from .repair import op4_repair_token_files
 from .token_counts import op7_token_counts
 
-QUERIES = {f.__name__: f for f in (op3_class_lm, op4_repair_token_files, op7_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_bm25_decontamination, op3_class_lm, op4_repair_token_files, op6_lpf_dedup, op7_token_counts, op10_jaccard_join)}
 ORACLES: dict[str, str] = {}
