@@ -16,6 +16,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +40,8 @@ def question_and_answer(text: str) -> tuple[str, str]:
 
 
 def word_hashes(text: str) -> np.ndarray:
-    data = textkit.lower(np.frombuffer(text.encode(), np.uint8))
-    starts, ends, _ = textkit.word_spans(np.array([0, len(data)]), data)
+    offsets, data = textkit.text_buffer(pc.utf8_lower(pa.array([text])))
+    starts, ends, _ = textkit.word_spans(offsets, data)
     return textkit.range_hash(textkit.prefix_hash(data), starts, ends) if len(starts) else np.zeros(0, np.uint64)
 
 
@@ -198,8 +199,7 @@ def search_with(shared):
     def work(batches):
         index, half = Index(shared.value), PASSAGE // 2
         for batch in batches:
-            for lo, hi, offsets, data in textkit.segments(batch.column(1)):
-                low = textkit.lower(data)
+            for lo, hi, offsets, low in textkit.segments(pc.utf8_lower(batch.column(1))):
                 starts, ends, docs = textkit.word_spans(offsets, low)
                 if not len(starts):
                     continue
