@@ -7,8 +7,9 @@ from .decontaminate import op1_bm25_decontamination
 from .factors import op6_lpf_dedup
 from .jaccard import op10_jaccard_join
 from .nbest import op8_nbest_pieces
+from .quality_rank import op2_bradley_terry_quality
 from .repair import op4_repair_token_files
 from .token_counts import op7_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_bm25_decontamination, op3_class_lm, op4_repair_token_files, op6_lpf_dedup, op7_token_counts, op8_nbest_pieces, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_bm25_decontamination, op2_bradley_terry_quality, op3_class_lm, op4_repair_token_files, op6_lpf_dedup, op7_token_counts, op8_nbest_pieces, op10_jaccard_join)}
 ORACLES: dict[str, str] = {}
