@@ -35,6 +35,8 @@ SHINGLE = 5
 #: Most shingles of a region that one task joins.
 REGION = 6_000_000
 PIVOTS = 16
+#: Most members of regions whose ids (24 bytes each) are broadcast; more are joined by a shuffle.
+SMALL = 1_000_000
 ROUNDS = 8
 
 
@@ -225,8 +227,10 @@ def jaccard_groups(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
     prefix = candidates.select("node", F.explode("prefix").alias("token")).distinct()
     centres = prefix.groupBy("token").agg(F.min("node").alias("b"), F.count("*").alias("m")).where("m > 1").select("token", "b")
     regions = textkit.saved(connected_components(prefix.join(centres, "token").select(F.col("node").alias("a"), "b")))
-    sets = candidates.groupBy("node").agg(F.first("n_shingles").cast("int").alias("n"), F.first("shingles").alias("shingles"))
-    members = textkit.saved(sets.join(regions, "node").select(F.col("root").alias("region"), "node", "n", "shingles"))
+    # one document stands for a node, so that sets move once, to their regions
+    chosen = textkit.saved(candidates.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(regions, "node").select("node", "doc_id", F.col("root").alias("region")))
+    small = chosen.count() <= SMALL
+    members = candidates.select("node", "doc_id", F.col("n_shingles").cast("int").alias("n"), "shingles").join(F.broadcast(chosen) if small else chosen, ["node", "doc_id"]).select("region", "node", "n", "shingles")
     edges = []
     for step in range(ROUNDS):
         size = members.groupBy("region").agg(F.sum(F.col("n").cast("long")).alias("total"))
@@ -241,7 +245,7 @@ def jaccard_groups(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
     links = edges[0]
     for e in edges[1:]:
         links = links.union(e)
-    roots = connected_components(links) if len(edges) > 1 else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = connected_components(links) if len(edges) > 1 else links.where("a <> b").select(F.col("a").alias("node"), F.col("b").alias("root")).distinct()
     named = rows.where("node is not null").select("doc_id", "n_shingles", "node").join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("group"))
     least = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
     with_sets = named.join(least, "group").select("doc_id", "n_shingles", "component_id")
