@@ -148,7 +148,8 @@ def anchors(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH, gram: i
     new[1:] = (place[1:] != place[:-1]) | (docs[1:] != docs[:-1]) | (np.diff(starts) > 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
-    return grams[place[first]], docs[first], starts[first], starts[last]
+    hashes = textkit.mix(grams[place[first]] + np.uint64(0x9E3779B97F4A7C15))  # the smallest hashes crowd together: spread them again
+    return hashes, docs[first], starts[first], starts[last]
 
 
 def repeated_runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
