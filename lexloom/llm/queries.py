@@ -9,7 +9,23 @@ from .jaccard import op10_jaccard_join
 from .nbest import op8_nbest_pieces
 from .quality_rank import op2_bradley_terry_quality
 from .repair import op4_repair_token_files
+from .rule_ledger import OP5_SQL, op5_rule_ledger
+from .site_lines import OP9_SQL, op9_site_spread_lines
 from .token_counts import op7_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_bm25_decontamination, op2_bradley_terry_quality, op3_class_lm, op4_repair_token_files, op6_lpf_dedup, op7_token_counts, op8_nbest_pieces, op10_jaccard_join)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_bm25_decontamination,
+        op2_bradley_terry_quality,
+        op3_class_lm,
+        op4_repair_token_files,
+        op5_rule_ledger,
+        op6_lpf_dedup,
+        op7_token_counts,
+        op8_nbest_pieces,
+        op9_site_spread_lines,
+        op10_jaccard_join,
+    )
+}
+ORACLES = {"op5_rule_ledger": OP5_SQL, "op9_site_spread_lines": OP9_SQL}
