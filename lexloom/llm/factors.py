@@ -29,7 +29,9 @@ from .sketches import bucket_bits, look, shared_buckets
 LENGTH, GRAM = 400, 128
 #: An anchor met more often is not sent to one task: its windows are counted by hash instead.
 CROWD = 20_000
-BATCH = 4 << 20
+BATCH = 2 << 20
+#: Bytes of text at a time: the arrays of winnowing take some eighty times as much.
+PIECE = 1 << 20
 
 
 def ranks(data: np.ndarray, depth: int, at: np.ndarray) -> np.ndarray:
@@ -173,14 +175,14 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, keep_first: bool = False,
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = bucket_bits(n_bytes * 2 / (length - gram + 2) * 16)
-    maps = shared_buckets(docs, lambda offsets, data: [anchors(offsets, data, length, gram)[0]], bits, crowd)
+    maps = shared_buckets(docs, lambda offsets, data: [anchors(offsets, data, length, gram)[0]], bits, crowd, PIECE)
     crowded = bool(maps[1].any())
     bitmaps = spark.sparkContext.broadcast(maps)
 
     def candidates(batches):
         shared, many = bitmaps.value
         for batch in batches:
-            for lo, hi, offsets, data in textkit.segments(batch.column(1)):
+            for lo, hi, offsets, data in textkit.segments(batch.column(1), PIECE):
                 hashes, at, first, last = anchors(offsets, data, length, gram)
                 use = look(shared, hashes, bits) > 0
                 hashes, at, first, last = hashes[use], at[use], first[use], last[use]
@@ -217,20 +219,44 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, keep_first: bool = False,
         held, size, anchor = [], 0, None
 
         def flush():
-            bytes_ = np.frombuffer(b"".join(r[3] for r in held), np.uint8)
-            sizes = np.array([len(r[3]) for r in held])
-            begin = np.cumsum(sizes) - sizes
-            windows = sizes - length + 1
-            at = textkit.gather(np.arange(len(bytes_)), begin, windows)
-            hit = repeated_starts(bytes_, at, length, keep_first)
-            owner = np.repeat(np.arange(len(held)), windows)
-            fence = np.insert(hit, np.cumsum(windows)[:-1], False)  # runs end with their context
-            a, b = repeated_runs(fence)
-            member = np.insert(owner, np.cumsum(windows)[:-1], -1)[a]
-            base = (np.cumsum(windows) - windows + np.arange(len(held)))[member]
-            keys, firsts = np.array([r[1] for r in held], np.int64)[member], np.array([r[2] for r in held], np.int64)[member]
+            # equal contexts repeat each other whole; one of them is enough for what else they repeat
+            seen: dict[tuple[int, bytes], int] = {}
+            alone: list[tuple] = []
+            whole = []
+            for r in held:
+                k = seen.setdefault((r[0], r[3]), len(alone))
+                if k == len(alone):
+                    alone.append([r, False])
+                else:
+                    whole.append(r)
+                    alone[k][1] = True
+            if not keep_first:
+                whole += [r for r, twin in alone if twin]
+            rows = [(r[1], r[2], r[2] + len(r[3])) for r in whole]
+            shared = np.bincount([inverse for inverse in ids_of(alone)])
+            alone = [x for x, g in zip(alone, ids_of(alone)) if shared[g] > 1]
+            if alone:
+                bytes_ = np.frombuffer(b"".join(r[3] for r, _ in alone), np.uint8)
+                sizes = np.array([len(r[3]) for r, _ in alone])
+                begin = np.cumsum(sizes) - sizes
+                windows = sizes - length + 1
+                at = textkit.gather(np.arange(len(bytes_)), begin, windows)
+                hit = repeated_starts(bytes_, at, length, keep_first)
+                fence = np.insert(hit, np.cumsum(windows)[:-1], False)  # runs end with their context
+                a, b = repeated_runs(fence)
+                member = np.insert(np.repeat(np.arange(len(alone)), windows), np.cumsum(windows)[:-1], -1)[a]
+                base = (np.cumsum(windows) - windows + np.arange(len(alone)))[member]
+                for m, x, y in zip(member.tolist(), (a - base).tolist(), (b - base).tolist()):
+                    r = alone[m][0]
+                    rows.append((r[1], r[2] + x, r[2] + y + length))
             held.clear()
-            return pa.RecordBatch.from_pydict({"key": keys, "begin": (firsts + a - base).astype(np.int32), "end": (firsts + b - base + length).astype(np.int32)})
+            keys, begins, ends = zip(*rows) if rows else ((), (), ())
+            return pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "begin": pa.array(begins, pa.int32()), "end": pa.array(ends, pa.int32())})
+
+        def ids_of(rows):
+            """Numbers of the rows' anchors."""
+            number: dict[int, int] = {}
+            return [number.setdefault(r[0], len(number)) for r, _ in rows]
 
         for batch in batches:
             anchors_, keys, firsts = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()

@@ -11,7 +11,7 @@ from . import textkit
 SLICES = 64
 
 
-def shared_buckets(docs: DataFrame, hashes, bits: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+def shared_buckets(docs: DataFrame, hashes, bits: int, most: int, piece: int = textkit.SEGMENT) -> tuple[np.ndarray, np.ndarray]:
     """Bitmaps over 2**bits buckets of hashes: those met twice or more, and those met more than `most` times.
 
     hashes(offsets, bytes) gives the hash arrays of a segment of `text`. All
@@ -33,7 +33,7 @@ def shared_buckets(docs: DataFrame, hashes, bits: int, most: int) -> tuple[np.nd
             return pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "buckets": pa.array([inside[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())})
 
         for batch in batches:
-            for _, _, offsets, data in textkit.segments(batch.column(0)):
+            for _, _, offsets, data in textkit.segments(batch.column(0), piece):
                 sets = [x for x in hashes(offsets, data) if len(x)]
                 if sets:
                     held.append(np.concatenate(sets))
