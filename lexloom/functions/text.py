@@ -88,7 +88,7 @@ def token_ids(tokens: Column) -> Column:
 
 def _split_sentences(text: Column) -> Column:
     flat = F.trim(F.regexp_replace(text, "\\s+", " "))
-    return F.transform(F.split(flat, f"(?<=[{ENDERS}])|(?<=\\.)(?=\\s|$)"), F.trim)
+    return F.transform(F.split(flat, f"(?<=[{ENDERS}])|(?<=\\.)(?=\\s|$)"), lambda x: F.trim(x))
 
 
 def sentences(text: Column) -> Column:

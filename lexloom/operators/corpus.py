@@ -35,8 +35,8 @@ def title(text: Column) -> Column:
 def front_matter(docs: DataFrame) -> DataFrame:
     """(doc_id, title_line, crumbs, body): the first heading, the breadcrumb lines, and the cleaned body lines."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    heads = F.transform(F.filter(lines, lambda x: x.rlike("^\\s*#")), F.rtrim)
-    crumbs = F.transform(F.filter(lines, lambda x: x.rlike("^\\s*>")), F.rtrim)
+    heads = F.transform(F.filter(lines, lambda x: x.rlike("^\\s*#")), lambda x: F.rtrim(x))
+    crumbs = F.transform(F.filter(lines, lambda x: x.rlike("^\\s*>")), lambda x: F.rtrim(x))
     body = F.filter(F.transform(F.filter(lines, lambda x: ~x.rlike("^\\s*[#>]")), T.clean_line), lambda x: x != "")
     return docs.select("doc_id", F.coalesce(F.get(heads, F.lit(0)), F.lit("")).alias("title_line"), crumbs.alias("crumbs"), body.alias("body"))
 

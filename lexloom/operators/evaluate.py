@@ -104,6 +104,6 @@ def answer_score(answered: Column, on_topic: Column, clean: Column, intent_fit:
 def list_fragments(answer: Column) -> Column:
     """(items, fragments) of a list answer: items that begin like the tail of a word."""
     body = F.regexp_replace(F.coalesce(answer, F.lit("")), "^[^：:]*[：:]", "")
-    items = F.filter(F.transform(F.split(body, "[・、，]"), F.trim), lambda x: x != "")
+    items = F.filter(F.transform(F.split(body, "[・、，]"), lambda x: F.trim(x)), lambda x: x != "")
     bad = F.filter(items, lambda x: x.rlike("^[ぁ-ん]{1,2}[ァ-ヶ]{2,}") | x.rlike("^[ァィゥェォッャュョヮぁぃぅぇぉっゃゅょゎ]"))
     return F.struct(F.size(items).alias("items"), F.size(bad).alias("fragments"))

@@ -56,7 +56,7 @@ def blocked_sets(events: DataFrame) -> DataFrame:
     """(sig, blocked): of each question's rejected answers the texts, their sentences and parts, distinct, the latest 50."""
     text = F.coalesce("text", F.lit(""))
     parts = F.concat(F.array(text), T.feedback_sentences(text), F.coalesce("compose", F.array().cast("array<string>")))
-    rows = events.where("label = 'bad'").select("ts", T.signature(F.col("q")).alias("sig"), F.filter(F.transform(parts, F.trim), lambda x: x != "").alias("parts"))
+    rows = events.where("label = 'bad'").select("ts", T.signature(F.col("q")).alias("sig"), F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "").alias("parts"))
     lists = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ts", "parts"))), lambda x: x["parts"]))
     kept = rows.groupBy("sig").agg(F.array_distinct(lists).alias("all"))
     return kept.select("sig", F.slice("all", F.greatest(F.lit(1), F.size("all") - MAX_BLOCKED + 1), F.lit(MAX_BLOCKED)).alias("blocked"))
