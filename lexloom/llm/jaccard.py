@@ -10,10 +10,11 @@
 2. Equal sets become one node. Nodes that share a prefix shingle fall into
    one region (stars around the shingle's smallest node, then connected
    components): all links are inside regions.
-3. A region of bounded size is joined in one task around pivots. All members'
-   distances to a pivot are computed; members within the radius link to it.
-   A linked member needs to be no pivot itself unless the triangle inequality
-   leaves room for a member that an earlier pivot of another component took.
+3. A region of bounded size is joined in one task. Members meet over shared
+   rare shingles; each is first compared with the centres of the cells of
+   those that it meets, joins the nearest within the radius or begins a cell,
+   and is compared with a member only if the triangle inequality, from the two
+   distances to the member's centre, leaves room for a link.
 4. A larger region is split: each member goes to the cell of its nearest
    pivot (Voronoi), and also to each cell whose pivot is no further than its
    nearest by more than twice the radius; cells are regions of their own,
@@ -33,7 +34,7 @@ from .sketches import bucket_bits, look, shared_buckets
 
 SHINGLE = 5
 #: Most shingles of a region that one task joins.
-REGION = 6_000_000
+REGION = 16_000_000
 PIVOTS = 16
 #: Most members of regions whose ids (24 bytes each) are broadcast; more are joined by a shuffle.
 SMALL = 1_000_000
@@ -68,50 +69,66 @@ def overlaps(linked_num: int, linked_den: int, common, a, b):
     return linked_den * common >= linked_num * (a + b - common)
 
 
-class Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, k: int) -> int:
-        while self.up[k] != k:
-            self.up[k] = self.up[self.up[k]]
-            k = self.up[k]
-        return k
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-
-
 def join_region(sets: list[np.ndarray], num: int = 75, den: int = 100) -> list[int]:
-    """Components of the exact threshold join of some sets: for each the first member of its component."""
-    n = len(sets)
+    """Components of the exact threshold join of some sets: for each the first member of its component.
+
+    Members come by size. Each meets the earlier ones that share one of its
+    rarest shingles (as many as a linked pair must share one of) and are not
+    too small. Its distance to the centres of their cells is computed first; a
+    member of another component is compared only if the triangle inequality
+    leaves room for a link. A member within the radius of a centre joins its
+    cell, others begin one. Members of one component are never compared again.
+    """
+    n, radius = len(sets), 1 - num / den
     sizes = np.array([len(s) for s in sets])
-    flat, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+    flat, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     starts = np.cumsum(sizes) - sizes
     mark = np.zeros(len(flat), bool)
-    radius = 1 - num / den
-    forest, waiting, taken = Forest(n), np.ones(n, bool), np.zeros(n, bool)
-    for p in range(n):
-        if not waiting[p]:
-            continue
-        waiting[p] = False
-        own = inverse[starts[p] : starts[p] + sizes[p]]
-        mark[own] = True
-        common = np.add.reduceat(mark[inverse].astype(np.int64), starts)
-        mark[own] = False
-        distance = 1 - common / (sizes + sizes[p] - common)
-        near = np.flatnonzero(overlaps(num, den, common, sizes, sizes[p]))
-        for k in near.tolist():
-            forest.join(p, k)
-        root = forest.find(p)
-        others = np.array([k for k in np.flatnonzero(taken & (distance <= 2 * radius + 1e-9)).tolist() if forest.find(k) != root], np.int64)
-        free = near if not len(others) else near[[bool((np.abs(distance[others] - distance[k]) > radius + 1e-9).all()) for k in near.tolist()]]
-        free = free[waiting[free]]
-        waiting[free] = False
-        taken[free] = True
-    return [forest.find(k) for k in range(n)]
+    label = np.arange(n)
+    members = {k: [k] for k in range(n)}
+    centre, reach = np.arange(n), np.zeros(n)
+    postings: dict[int, list[int]] = {}
+
+    def union(a: int, b: int) -> None:
+        a, b = int(label[a]), int(label[b])
+        if a != b:
+            if len(members[a]) < len(members[b]):
+                a, b = b, a
+            label[members[b]] = a
+            members[a] += members.pop(b)
+
+    for x in np.argsort(sizes, kind="stable").tolist():
+        size = int(sizes[x])
+        own = inverse[starts[x] : starts[x] + size]
+        first = size - -(-num * size // den) + 1
+        rare = own[np.lexsort((own, count[own]))[:first]]
+        rare = rare[count[rare] > 1].tolist()
+        met = np.unique(np.array([k for t in rare for k in postings.get(t, ())], np.int64))
+        met = met[den * sizes[met] >= num * size]
+        if len(met):
+            mark[own] = True
+
+            def compare(k: int) -> tuple[float, bool]:
+                common = int(mark[inverse[starts[k] : starts[k] + sizes[k]]].sum())
+                return 1 - common / (size + int(sizes[k]) - common), bool(overlaps(num, den, common, size, int(sizes[k])))
+
+            far = {}
+            for c in np.unique(centre[met]).tolist():
+                far[c], near = compare(c)
+                if near:
+                    union(x, c)
+                    if centre[x] == x or far[c] < reach[x]:
+                        centre[x], reach[x] = c, far[c]
+            for k in met.tolist():
+                if label[k] != label[x] and abs(far[int(centre[k])] - reach[k]) <= radius + 1e-9 and compare(k)[1]:
+                    union(x, k)
+            mark[own] = False
+        for t in rare:
+            postings.setdefault(t, []).append(x)
+    least = {}
+    for k in range(n):
+        least.setdefault(int(label[k]), k)
+    return [least[int(label[k])] for k in range(n)]
 
 
 def joined(rows: DataFrame) -> DataFrame:
