@@ -203,8 +203,11 @@ def class_model_scores(docs: DataFrame, fold: int = 1) -> DataFrame:
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     counted = textkit.saved(docs.mapInArrow(training_words, "word long, ending int, n long").groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("n")))
     words = counted.where("ending >= 0")
-    head = words.orderBy(F.desc("n"), "word").limit(HEAD).toPandas()  # a table of fixed size
-    head_hash, head_n, head_end = head["word"].to_numpy(np.int64).view(np.uint64), head["n"].to_numpy(np.int64), head["ending"].to_numpy(np.int64)
+    # the least count at which at most HEAD words are frequent: from a table of counts, not of words
+    by_count = words.groupBy("n").agg(F.count("*").alias("m")).select("n", F.sum("m").over(Window.orderBy(F.desc("n"))).alias("upto"))
+    least = by_count.where(F.col("upto") <= HEAD).agg(F.min("n")).first()[0] or 0
+    head = words.where(F.col("n") >= least).toPandas() if least else words.limit(0).toPandas()  # HEAD rows at most
+    head = head.sort_values(["n", "word"], ascending=[False, True])
     sums = counted.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()  # ENDINGS + 1 rows
     type_n, type_v = np.zeros(TYPES), np.zeros(TYPES)
     for ending, n, v in sums.itertuples(index=False):
@@ -222,7 +225,6 @@ def class_model_scores(docs: DataFrame, fold: int = 1) -> DataFrame:
     step = np.log10((table + 0.5) / (table.sum(1, keepdims=True) + 0.5 * CLASSES))
     emit = np.log10(hot.T @ type_n + 0.5 * (hot.T @ type_v + 1))[member]  # of each type, the denominator of its class
     base = np.log10(total + 0.5 * (distinct + 1))
-    cutoff = int(head_n[-1]) if len(head_n) == HEAD else 0
     shared = spark.sparkContext.broadcast((head_hash, head_n, tops, member, step, emit, base, type_n[END], total))
 
     def score(batches):
@@ -268,7 +270,7 @@ def class_model_scores(docs: DataFrame, fold: int = 1) -> DataFrame:
     schema = "key long, doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, rare array<long>, times array<int>"
     scored = textkit.saved(docs.mapInArrow(score, schema))
     rare = scored.select("key", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("key", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    tail = words.where(F.col("n") <= cutoff).select("word", "n") if cutoff else words.select("word", "n").where("false")
+    tail = words.where(F.col("n") < least).select("word", "n")
     found = rare.join(tail, "word", "left").groupBy("key").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("logs"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"))
     texts = scored.groupBy("key").agg(*(F.first(c).alias(c) for c in scored.columns[1:8]), F.count("*").alias("m"))  # equal rows, told apart by nothing
     logs, more = F.coalesce("logs", F.lit(0.0)) / F.col("m"), F.coalesce("more", F.lit(0)) / F.col("m")
