@@ -141,51 +141,58 @@ def type_bigrams(docs: DataFrame, top: np.ndarray) -> np.ndarray:
 
 
 def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
-    """Exchange clustering: the class of each type. The last type keeps a class of its own (the last)."""
+    """Exchange clustering: the class of each type. The last type keeps a class of its own (the last).
+
+    The most frequent types begin one class each; the first sweep inserts the
+    others, most frequent first, into the class that fits best; later sweeps
+    take each type out of its class and put it where the class-bigram
+    likelihood is highest.
+    """
     n = len(pairs)
     order = np.argsort(-(pairs.sum(0) + pairs.sum(1))[: n - 1], kind="stable")
-    member = np.empty(n, np.int64)
-    member[order] = np.arange(n - 1) % (classes - 1)
+    member = np.full(n, -1, np.int64)
+    member[order[: classes - 1]] = np.arange(min(classes - 1, n - 1))
     member[n - 1] = classes - 1
     hot = np.zeros((n, classes))
-    hot[np.arange(n), member] = 1
+    some = np.flatnonzero(member >= 0)
+    hot[some, member[some]] = 1
     right, left = pairs @ hot, pairs.T @ hot  # of each type: counts of the classes after and before it
     table = hot.T @ right
     f = lambda x: x * np.log(np.maximum(x, 1))
-    for _ in range(sweeps):
+    for sweep in range(sweeps + 1):
         moved = 0
         for w in order:
-            out, into, own = right[w], left[w], pairs[w, w]
-            if not out.any() and not into.any():
+            own, old = pairs[w, w], member[w]
+            if sweep == 0 and old >= 0:
                 continue
-            old = member[w]
-            # take w out of its class
-            out_k, in_k = out.copy(), into.copy()
-            out_k[old] -= own
-            in_k[old] -= own
-            table[old, :] -= out_k
-            table[:, old] -= in_k
-            table[old, old] -= own
+            out, into = right[w].copy(), left[w].copy()
+            if old >= 0:  # take w out of its class
+                out[old] -= own
+                into[old] -= own
+                table[old, :] -= out
+                table[:, old] -= into
+                table[old, old] -= own
             rows, cols = table.sum(1), table.sum(0)
-            gain = (f(table + out_k) - f(table)).sum(1) + (f(table + in_k[:, None]) - f(table)).sum(0)
+            gain = (f(table + out) - f(table)).sum(1) + (f(table + into[:, None]) - f(table)).sum(0)
             diag = np.diagonal(table)
-            gain += f(diag + out_k + in_k + own) - f(diag + out_k) - f(diag + in_k) + f(diag)
-            gain -= f(rows + out.sum()) - f(rows) + f(cols + into.sum()) - f(cols)
+            gain += f(diag + out + into + own) - f(diag + out) - f(diag + into) + f(diag)
+            gain -= f(rows + out.sum() + own) - f(rows) + f(cols + into.sum() + own) - f(cols)
             gain[classes - 1] = -np.inf
             new = int(np.argmax(gain))
-            if gain[new] <= gain[old] + 1e-9:
+            if old >= 0 and gain[new] <= gain[old] + 1e-9:
                 new = old
-            table[new, :] += out_k
-            table[:, new] += in_k
+            table[new, :] += out
+            table[:, new] += into
             table[new, new] += own
             if new != old:
                 moved += 1
                 member[w] = new
-                right[:, old] -= pairs[:, w]
                 right[:, new] += pairs[:, w]
-                left[:, old] -= pairs[w, :]
                 left[:, new] += pairs[w, :]
-        if not moved:
+                if old >= 0:
+                    right[:, old] -= pairs[:, w]
+                    left[:, old] -= pairs[w, :]
+        if sweep and not moved:
             break
     return member
 

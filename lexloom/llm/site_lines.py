@@ -43,20 +43,20 @@ def without_shared_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars:
     source counts as one site of its own. Null and empty texts have no lines
     and stay as they are. Rows that share a doc_id and text lose the same
     lines. Other columns are kept; columns named n_lines or n_removed are
-    replaced.
+    replaced, and so are __line_text and __line_numbers.
     """
-    docs = docs.where("doc_id is not null").drop("n_lines", "n_removed")
+    docs = docs.where("doc_id is not null").drop("n_lines", "n_removed", "__line_text", "__line_numbers")
     key = F.xxhash64("text")
-    numbered = docs.select("doc_id", key.alias("_key"), F.coalesce("source", F.lit("")).alias("source"), F.posexplode(F.transform(F.split("text", "\n"), lambda x: line_hash(x, min_chars))).alias("at", "line")).where("line is not null")
+    numbered = docs.select("doc_id", key.alias("__line_text"), F.coalesce("source", F.lit("")).alias("source"), F.posexplode(F.transform(F.split("text", "\n"), lambda x: line_hash(x, min_chars))).alias("at", "line")).where("line is not null")
     shared = shared_lines(numbered.select("doc_id", "at", "line", "source"), min_sites)
-    hits = numbered.select("doc_id", "_key", "at", "line").join(shared, "line").where("doc_id <> first_doc or at <> first_at")
-    gone = textkit.saved(hits.groupBy("doc_id", "_key").agg(F.collect_set("at").alias("_gone")))
+    hits = numbered.select("doc_id", "__line_text", "at", "line").join(shared, "line").where("doc_id <> first_doc or at <> first_at")
+    gone = textkit.saved(hits.groupBy("doc_id", "__line_text").agg(F.collect_set("at").alias("__line_numbers")))
     if gone.count() <= SMALL:
         gone = F.broadcast(gone)
-    joined = docs.withColumn("_key", key).join(gone, ["doc_id", "_key"], "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains("_gone", k)), "\n")
+    joined = docs.withColumn("__line_text", key).join(gone, ["doc_id", "__line_text"], "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains("__line_numbers", k)), "\n")
     n_lines = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
-    new = {"n_lines": n_lines, "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)}
+    new = {"n_lines": n_lines, "n_removed": F.coalesce(F.size("__line_numbers"), F.lit(0)).cast("long"), "text": F.when(F.col("__line_numbers").isNull(), F.col("text")).otherwise(kept)}
     return joined.select(*[new["text"].alias("text") if c == "text" else F.col(c) for c in docs.columns], new["n_lines"].alias("n_lines"), new["n_removed"].alias("n_removed"))
 
 
