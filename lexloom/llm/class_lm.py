@@ -172,7 +172,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
                 table[old, :] -= out
                 table[:, old] -= into
                 table[old, old] -= own
-            rows, cols = table.sum(1), table.sum(0)
+            rows, cols = table.sum(1) + into, table.sum(0) + out  # with w in no class yet, but counted beside the others
             gain = (f(table + out) - f(table)).sum(1) + (f(table + into[:, None]) - f(table)).sum(0)
             diag = np.diagonal(table)
             gain += f(diag + out + into + own) - f(diag + out) - f(diag + into) + f(diag)
