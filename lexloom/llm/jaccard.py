@@ -81,8 +81,18 @@ def join_region(sets: list[np.ndarray], num: int = 75, den: int = 100) -> list[i
     """
     n, radius = len(sets), 1 - num / den
     sizes = np.array([len(s) for s in sets])
-    flat, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    starts = np.cumsum(sizes) - sizes
+    every = np.concatenate(sets)
+    every.sort()
+    twice = np.flatnonzero(every[1:] == every[:-1]) + 1
+    flat = unique(every[twice])  # shingles that only one member has can't link it
+    count = (np.searchsorted(every, flat, "right") - np.searchsorted(every, flat, "left")).astype(np.int32)
+    del every, twice
+    shared = []
+    for s in sets:
+        at = np.searchsorted(flat, s)
+        inside = at < len(flat)
+        inside[inside] = flat[at[inside]] == s[inside]
+        shared.append(at[inside].astype(np.int32))
     mark = np.zeros(len(flat), bool)
     label = np.arange(n)
     members = {k: [k] for k in range(n)}
@@ -99,17 +109,16 @@ def join_region(sets: list[np.ndarray], num: int = 75, den: int = 100) -> list[i
 
     for x in np.argsort(sizes, kind="stable").tolist():
         size = int(sizes[x])
-        own = inverse[starts[x] : starts[x] + size]
-        first = size - -(-num * size // den) + 1
-        rare = own[np.lexsort((own, count[own]))[:first]]
-        rare = rare[count[rare] > 1].tolist()
+        own = shared[x]
+        first = size - -(-num * size // den) + 1 - (size - len(own))  # after the shingles of x alone
+        rare = own[np.lexsort((own, count[own]))[: max(0, first)]].tolist()
         met = np.unique(np.array([k for t in rare for k in postings.get(t, ())], np.int64))
         met = met[den * sizes[met] >= num * size]
         if len(met):
             mark[own] = True
 
             def compare(k: int) -> tuple[float, bool]:
-                common = int(mark[inverse[starts[k] : starts[k] + sizes[k]]].sum())
+                common = int(mark[shared[k]].sum())
                 return 1 - common / (size + int(sizes[k]) - common), bool(overlaps(num, den, common, size, int(sizes[k])))
 
             far = {}
