@@ -81,12 +81,18 @@ def join_region(sets: list[np.ndarray], num: int = 75, den: int = 100) -> list[i
     """
     n, radius = len(sets), 1 - num / den
     sizes = np.array([len(s) for s in sets])
-    every = np.concatenate(sets)
-    every.sort()
-    twice = np.flatnonzero(every[1:] == every[:-1]) + 1
-    flat = unique(every[twice])  # shingles that only one member has can't link it
-    count = (np.searchsorted(every, flat, "right") - np.searchsorted(every, flat, "left")).astype(np.int32)
-    del every, twice
+    # shingles that only one member has can't link it; counted in slices of the hash range, so that little is held at once
+    edges = np.arange(1, 64, dtype=np.uint64) << np.uint64(58)
+    cuts = [np.concatenate(([0], np.searchsorted(s, edges), [len(s)])) for s in sets]
+    found, counts = [], []
+    for k in range(len(edges) + 1):
+        every = np.concatenate([s[c[k] : c[k + 1]] for s, c in zip(sets, cuts)])
+        every.sort()
+        twice = unique(every[1:][every[1:] == every[:-1]])
+        found.append(twice)
+        counts.append((np.searchsorted(every, twice, "right") - np.searchsorted(every, twice, "left")).astype(np.int32))
+    flat, count = np.concatenate(found), np.concatenate(counts)
+    del every, twice, found, counts, cuts
     shared = []
     for s in sets:
         at = np.searchsorted(flat, s)
