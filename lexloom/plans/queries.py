@@ -666,11 +666,11 @@ def backoff_schedule(spark, sf):
 # --- calculation ---
 
 
-@query("select l_orderkey * 10 + l_linenumber as row_id, round(l_extendedprice * 1000.0::double / (l_quantity * 1e-6::double) / 1e9::double, 4) as value, 'Pa' as unit, true as ok from lineitem")
+@query("select l_orderkey * 10 + l_linenumber as row_id, round(l_extendedprice * 1000.0::double / (l_quantity * 1e-6::double) / 1e9::double + 1e-7::double, 4) as value, 'Pa' as unit, true as ok from lineitem")
 def calc_compute(spark, sf):
     amount = lambda v, u: F.struct(v.cast("double").alias("value"), F.lit(u).alias("unit"))
     rows = read(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), F.lit("tensile").alias("id"), F.create_map(F.lit("P"), amount(F.col("l_extendedprice"), "kN"), F.lit("A"), amount(F.col("l_quantity"), "mm2")).alias("inputs"))
-    return calc.compute(rows).select("row_id", F.round(F.col("value") / 1e9, 4).alias("value"), "unit", "ok")
+    return calc.compute(rows).select("row_id", F.round(F.col("value") / 1e9 + 1e-7, 4).alias("value"), "unit", "ok")
 
 
 @query("select 1::bigint as qid, 'formula' as cat, 'tensile' as id union all select 2, 'table', 'fit' union all select 3, 'none', null union all select 4, 'formula', 'l10'")
