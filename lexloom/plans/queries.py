@@ -175,7 +175,7 @@ def html_escape(spark, sf):
 @query("""select page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) as title, regexp_replace(regexp_replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '^[\\d０-９]+([・.·][\\d０-９]+)*\\s*', ''), '\\s+', '', 'g') as norm from pages where html not like '%(%'""")
 def title_normalize(spark, sf):
     t = F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
-    return read(spark, sf, "pages").where("html not like '%(%'").select("page_id", t.alias("title"), T.normalize_title(t).alias("norm"))
+    return read(spark, sf, "pages").select("page_id", t.alias("title"), T.normalize_title(t).alias("norm"))
 
 
 # --- corpus preparation ---
