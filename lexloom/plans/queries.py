@@ -121,8 +121,7 @@ def inline_clean(spark, sf):
 
 @query("select doc_id, md5(text) as restored from documents where not regexp_matches(text, '[぀-ヿ一-鿿ｦ-ﾟ）」』】〕｝)][.,]|,[（(「『【〔｛]')")
 def punct_restore(spark, sf):
-    affected = f"[{T.CJK_SET}）」』】〕｝)][.,]|,[（(「『【〔｛]"
-    return docs(spark, sf).where(~F.col("text").rlike(affected)).select("doc_id", F.md5(T.restore_punctuation(F.col("text")).cast("binary")).alias("restored"))
+    return docs(spark, sf).select("doc_id", F.md5(T.restore_punctuation(F.col("text")).cast("binary")).alias("restored"))
 
 
 @query("select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[、，][、，]+', '、', 'g'), ',{2,}', ',', 'g'), '^[、，。\\s]+', '')) as tidied from documents")

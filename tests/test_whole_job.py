@@ -32,3 +32,9 @@ def test_title_normalize_reads_pages_with_brackets(spark, table):
     pages = [(k, f"<html><script>f(1)</script><title>{t}</title></html>") for k, t in enumerate(titles)]
     got = run(spark, "title_normalize", table("pages", pages, "page_id long, html string"))
     assert sorted((r.page_id, r.title, r.norm) for r in got) == [(0, titles[0], "歯車の強さ"), (1, titles[1], "Gearsofsteel"), (2, titles[2], "plaintitle")]
+
+
+def test_punct_restore_keeps_documents_that_change(spark, table):
+    texts = ["歯車.軸", "歯車,軸と(図)a.b,c", "plain, text.", "x,（図）", "", None]
+    got = run(spark, "punct_restore", table("documents", list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted((r.doc_id, r.restored) for r in got) == list(enumerate(map(md5, ["歯車。軸", "歯車、軸と(図)a.b,c", "plain, text.", "x、（図）", "", None])))
