@@ -143,8 +143,7 @@ def sanitize(spark, sf):
 
 @query(f"with {S.SENTENCES} select doc_id, count(*) as n, count(*) as junk from s group by all")
 def junk_flag(spark, sf):
-    rows = sentence_split(spark, sf).where(~F.col("sentence").rlike(T.JAPANESE))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(T.junk_sentence(F.col("sentence")).cast("long")).alias("junk"))
+    return sentence_split(spark, sf).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(T.junk_sentence(F.col("sentence")).cast("long")).alias("junk"))
 
 
 @query("""with x as (select doc_id, unnest(string_split(text, chr(10))) as l from documents)

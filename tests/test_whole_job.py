@@ -38,3 +38,10 @@ def test_punct_restore_keeps_documents_that_change(spark, table):
     texts = ["歯車.軸", "歯車,軸と(図)a.b,c", "plain, text.", "x,（図）", "", None]
     got = run(spark, "punct_restore", table("documents", list(enumerate(texts)), "doc_id long, text string"))
     assert sorted((r.doc_id, r.restored) for r in got) == list(enumerate(map(md5, ["歯車。軸", "歯車、軸と(図)a.b,c", "plain, text.", "x、（図）", "", None])))
+
+
+def test_junk_flag_scores_japanese_sentences(spark, table):
+    good = "歯車は動力を伝える重要な機械要素である。"
+    texts = [good + "短い文。" + good, "The gear transmits power. " + good, "No Japanese here. At all."]
+    got = run(spark, "junk_flag", table("documents", list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n, r.junk) for r in got) == [(0, 3, 1), (1, 2, 1), (2, 2, 2)]
