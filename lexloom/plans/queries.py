@@ -472,8 +472,8 @@ def greedy_trace(spark, sf):
 
 
 def _events(spark, sf):
-    """Labels as grades: quality 1 is good; the question is the document's first 60 characters."""
-    d = docs(spark, sf).select("doc_id", F.substring("text", 1, 60).alias("q"), "text")
+    """Labels as grades: quality 1 is good; the question is the document's text."""
+    d = docs(spark, sf).select("doc_id", F.col("text").alias("q"), "text")
     rows = read(spark, sf, "labels").join(d, "doc_id")
     return rows.select(F.col("doc_id").alias("ts"), "q", "text", F.lit("kb").alias("source"), F.array().cast("array<string>").alias("compose"), F.when(F.col("quality") == 1, "good").otherwise("bad").alias("label"))
 
@@ -494,7 +494,7 @@ def top_weights(spark, sf):
 
 @query(f"with {EVENTS} select ts, q, label from e order by ts desc limit 500")
 def event_log(spark, sf):
-    return feedback.event_log(_events(spark, sf))
+    return feedback.event_log(_events(spark, sf).withColumn("q", F.substring("q", 1, 60)))
 
 
 @query(f"with {EVENTS} select ts, md5(text) as text from e where label = 'good' and text <> '' order by ts desc limit 200")
@@ -528,7 +528,7 @@ def feedback_stats(spark, sf):
 def answer_recall(spark, sf):
     pool = feedback.accepted_pool(_events(spark, sf))
     vectors = embed.embeddings(pool.select(F.col("ts").alias("doc_id"), F.col("q").alias("text"))).select(F.col("doc_id").alias("ts"), F.col("embedding").alias("v"))
-    asks = embed.embeddings(docs(spark, sf).where("doc_id % 10 = 0").select("doc_id", F.substring("text", 1, 60).alias("text"))).select(F.col("doc_id").alias("qid"), F.col("embedding").alias("v"))
+    asks = embed.embeddings(docs(spark, sf).where("doc_id % 10 = 0").select("doc_id", "text")).select(F.col("doc_id").alias("qid"), F.col("embedding").alias("v"))
     return feedback.recall_answer(pool.join(vectors, "ts"), asks).select("qid", F.md5(F.col("text").cast("binary")).alias("text"), F.round("cos", 6).alias("cos"))
 
 
@@ -629,7 +629,7 @@ def cost_estimates(spark, sf):
 
 
 def _goals(spark, sf):
-    return read(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("goal_id"), F.substring("text", 1, 200).alias("goal"))
+    return read(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("goal_id"), F.col("text").alias("goal"))
 
 
 def _has(intent: str) -> str:

@@ -45,3 +45,27 @@ def test_junk_flag_scores_japanese_sentences(spark, table):
     texts = [good + "短い文。" + good, "The gear transmits power. " + good, "No Japanese here. At all."]
     got = run(spark, "junk_flag", table("documents", list(enumerate(texts)), "doc_id long, text string"))
     assert sorted((r.doc_id, r.n, r.junk) for r in got) == [(0, 3, 1), (1, 2, 1), (2, 2, 2)]
+
+
+def test_goals_are_whole_turns(spark, table):
+    late = "x" * 300 + " write the doc and test it"
+    folder = table("conversations", [(1, 0, late), (1, 1, "short doc"), (2, 0, None)], "conv_id long, turn long, text string")
+    assert {r.goal_id: r.intents for r in run(spark, "intent_detect", folder)} == {1000: "test doc", 1001: "doc", 2000: ""}
+    short = {r.goal_id: r.steps for r in run(spark, "plan_trace", folder)}
+    assert short[1000] == short[1001] < short[2000]
+    actions = {r.goal_id: r.actions for r in run(spark, "reflect", folder)}
+    assert actions[1000] == actions[1001] < actions[2000]
+
+
+@pytest.fixture
+def graded(table):
+    docs = [(k, "gear " * 20 + w, "s") for k, w in enumerate(["shaft", "bearing", "gear"])]
+    table("labels", [(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    return table("documents", docs, "doc_id long, text string, source string")
+
+
+def test_questions_are_whole_texts(spark, graded):
+    assert {r.term: r.w for r in run(spark, "term_weights", graded)} == {"gear": 1.5, "shaft": 1.5, "bearing": 1.0}
+    assert {r.term: r.w for r in run(spark, "top_weights", graded)} == {"gear": 1.5, "shaft": 1.5}
+    assert [r.sig for r in run(spark, "blocked_sets", graded)] == ["bearing|gear"]
+    assert sorted(r.sig for r in run(spark, "blocked_anti_join", graded)) == ["gear", "gear|shaft"]
