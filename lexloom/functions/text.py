@@ -75,7 +75,7 @@ def space_tokens(text: Column) -> Column:
 
 def fnv1a(text: Column) -> Column:
     """32-bit FNV-1a over UTF-16 code units, as a non-negative long."""
-    units = bind(F.hex(F.encode(text, "UTF-16BE")), lambda h: F.when(F.length(h) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(h) - 3, F.lit(4)), lambda i: F.conv(F.substr(h, i, F.lit(4)), 16, 10).cast("bigint"))))
+    units = bind(F.hex(F.encode(text, "UTF-16BE")), lambda h: F.when(F.length(h) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(_all(h, "[0-9A-F]{4}"), lambda u: F.conv(u, 16, 10).cast("bigint"))))
     return F.aggregate(units, F.lit(2166136261).cast("bigint"), lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619).cast("bigint")).bitwiseAND(F.lit(4294967295)))
 
 

@@ -73,7 +73,7 @@ def lm_tokens(spark, sf):
 @query("""with x as (select doc_id, list_transform(range(1, length(s) + 1), lambda i: unicode(s[i])) as u from (select doc_id, substring(text, 1, 64) as s from documents))
 select doc_id, list_reduce(list_prepend(2166136261::hugeint, list_transform(u, lambda c: c::hugeint)), lambda h, c: (xor(h, c) * 16777619::hugeint) % 4294967296::hugeint)::bigint as hash from x where len(u) > 0""")
 def fnv_hash(spark, sf):
-    return docs(spark, sf).where("text <> ''").select("doc_id", T.fnv1a(F.substring("text", 1, 64)).alias("hash"))
+    return docs(spark, sf).where("text <> ''").select("doc_id", T.fnv1a(F.col("text")).alias("hash"))
 
 
 @query("select doc_id, n_pieces::int as n_pieces, parts from (select doc_id, len(x) as n_pieces, md5(array_to_string(x, chr(1))) as parts from (select doc_id, regexp_extract_all(text, '\\s+|\\S+') as x from documents))")

@@ -69,3 +69,17 @@ def test_questions_are_whole_texts(spark, graded):
     assert {r.term: r.w for r in run(spark, "top_weights", graded)} == {"gear": 1.5, "shaft": 1.5}
     assert [r.sig for r in run(spark, "blocked_sets", graded)] == ["bearing|gear"]
     assert sorted(r.sig for r in run(spark, "blocked_anti_join", graded)) == ["gear", "gear|shaft"]
+
+
+def fnv1a(text):
+    h = 2166136261
+    units = text.encode("utf-16-be")
+    for i in range(0, len(units), 2):
+        h = (h ^ int.from_bytes(units[i : i + 2], "big")) * 16777619 & 0xFFFFFFFF
+    return h
+
+
+def test_fnv_hash_covers_whole_texts(spark, table):
+    texts = ["a" * 64 + "b", "a" * 64 + "c", "歯車😀" * 500, "short", ""]
+    got = run(spark, "fnv_hash", table("documents", list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.hash for r in got} == {k: fnv1a(t) for k, t in enumerate(texts) if t}
