@@ -68,10 +68,10 @@ def not_blocked(candidates: DataFrame, blocked: DataFrame) -> DataFrame:
 
 
 def recall_answer(accepted: DataFrame, queries: DataFrame, min_cos: float = RECALL_MIN_COS) -> DataFrame:
-    """(qid, text, cos): the accepted answer to the most similar question, the latest of equals; needs `v` embeddings on both sides."""
+    """(qid, text, cos): the accepted answer to the most similar question, the latest of equals; needs `v` embeddings on both sides. Accepted answers, few by MAX_ACCEPTED, are broadcast."""
     from ..functions import vectors as V
 
-    scored = accepted.crossJoin(F.broadcast(queries.select("qid", F.col("v").alias("qv")))).withColumn("cos", F.round(V.cosine(F.col("v"), F.col("qv")), 9)).where(F.col("cos") >= min_cos)
+    scored = queries.select("qid", F.col("v").alias("qv")).crossJoin(F.broadcast(accepted)).withColumn("cos", F.round(V.cosine(F.col("v"), F.col("qv")), 9)).where(F.col("cos") >= min_cos)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("cos"), F.desc("ts")))
     return scored.withColumn("rank", rank).where("rank = 1").select("qid", "text", "cos")
 

@@ -188,8 +188,8 @@ def derubble(spark, sf):
 select d.doc_id, (s.key is not null and length(trim(s.body)) >= 20) as filled from documents d left join s on d.source = s.key where d.doc_id % 3 = 0""")
 def unique_key_fill(spark, sf):
     table = read(spark, sf, "documents")
-    sections = table.where("doc_id % 40 = 0").select(F.col("source").alias("key"), F.col("text").alias("body"))
-    filled = corpus.fill_by_unique_key(table.where("doc_id % 3 = 0").select("doc_id", F.col("source").alias("key"), F.col("text").alias("body")), sections)
+    sections = table.select(F.col("source").alias("key"), F.col("text").alias("body"))
+    filled = corpus.fill_by_unique_key(table.select("doc_id", F.col("source").alias("key"), F.col("text").alias("body")), sections)
     return filled.select("doc_id", "filled")
 
 
@@ -272,7 +272,7 @@ SPARSE = "select item_id as qid, text as query from benchmark where item_id % 4
 @query(f"""with {S.INDEX}, qq as ({SPARSE}), q as (select qid, term, count(*) as qtf from (select qid, unnest({S.terms("query")}) as term from qq) group by all), {S.BM25_SCORES},
 f as (select qid, d.doc_id, coalesce(score, 0) as score from (select qid from qq) cross join documents d left join sc using (qid, doc_id)) {S.top(5, "f")}""")
 def bm25_zero_fill(spark, sf):
-    asks = asked(spark, sf).where("qid % 4 = 0").union(spark.createDataFrame([(100000, "zzzz qqqq"), (100001, "license zzzz")], "qid long, query string"))
+    asks = asked(spark, sf).union(spark.createDataFrame([(100000, "zzzz qqqq"), (100001, "license zzzz")], "qid long, query string"))
     d = docs(spark, sf)
     filled = rt.zero_filled(rt.bm25_scores(corpus_index(spark, sf), asks), asks, d)
     return filled.select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
@@ -359,8 +359,8 @@ select a.id, a.pos, coalesce(supported, 0)::bigint as supported, coalesce(total,
  (case when coalesce(total, 0) = 0 then 1.0 else supported::double / total end) < 0.5 as flagged from a left join r on a.id = r.id and a.pos = r.pos""")
 def groundedness(spark, sf):
     d = docs(spark, sf)
-    answers = d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.col("text").alias("answer"))
-    contexts = d.where("doc_id % 2 = 1").select((F.col("doc_id") - 1).alias("id"), F.col("text").alias("context"))
+    answers = d.select(F.col("doc_id").alias("id"), F.col("text").alias("answer"))
+    contexts = d.select((F.col("doc_id") - 1).alias("id"), F.col("text").alias("context"))
     return rerank.groundedness(answers, contexts).drop("sentence")
 
 
@@ -528,7 +528,7 @@ def feedback_stats(spark, sf):
 def answer_recall(spark, sf):
     pool = feedback.accepted_pool(_events(spark, sf))
     vectors = embed.embeddings(pool.select(F.col("ts").alias("doc_id"), F.col("q").alias("text"))).select(F.col("doc_id").alias("ts"), F.col("embedding").alias("v"))
-    asks = embed.embeddings(docs(spark, sf).where("doc_id % 10 = 0").select("doc_id", "text")).select(F.col("doc_id").alias("qid"), F.col("embedding").alias("v"))
+    asks = embed.embeddings(docs(spark, sf)).select(F.col("doc_id").alias("qid"), F.col("embedding").alias("v"))
     return feedback.recall_answer(pool.join(vectors, "ts"), asks).select("qid", F.md5(F.col("text").cast("binary")).alias("text"), F.round("cos", 6).alias("cos"))
 
 

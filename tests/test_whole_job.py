@@ -83,3 +83,17 @@ def test_fnv_hash_covers_whole_texts(spark, table):
     texts = ["a" * 64 + "b", "a" * 64 + "c", "歯車😀" * 500, "short", ""]
     got = run(spark, "fnv_hash", table("documents", list(enumerate(texts)), "doc_id long, text string"))
     assert {r.doc_id: r.hash for r in got} == {k: fnv1a(t) for k, t in enumerate(texts) if t}
+
+
+def test_all_documents_and_questions_take_part(spark, table):
+    texts = [f"gear number{k} turns. shaft only{k} stands." for k in range(5)]
+    table("labels", [(k, 1) for k in range(5)], "doc_id long, quality int")
+    table("benchmark", [(k, f"number{k}") for k in range(5)], "item_id long, text string")
+    folder = table("documents", [(k, t, f"s{k // 2}") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    assert {r.doc_id: r.filled for r in run(spark, "unique_key_fill", folder)} == {0: False, 1: False, 2: False, 3: False, 4: True}
+    top = {r.qid: r.doc_id for r in run(spark, "bm25_zero_fill", folder) if r["rank"] == 1}
+    assert top == {k: k for k in range(5)} | {100000: 0, 100001: 0}
+    rows = {(r.id, r.pos): (r.supported, r.total, r.flagged) for r in run(spark, "groundedness", folder)}
+    assert rows == {(k, p): (0, 3, True) if k == 4 else (2, 3, False) for k in range(5) for p in (0, 1)}
+    assert [r.rate for r in run(spark, "hallucination_rate", folder)] == [0.2]
+    assert {r.qid: r.text for r in run(spark, "answer_recall", folder)}.keys() == set(range(5))
