@@ -9,9 +9,14 @@ windows span, to the task of the anchor's hash.
 
 There the suffixes that begin at the windows are put in order, to the depth
 that matters, by prefix doubling; in suffix order the previous and next
-smaller positions give each suffix its longest earlier match, and the
-previous and next larger positions its longest later one. A window goes if
-either reaches `length` (or, to keep first copies, if the earlier one does).
+smaller positions give each suffix its longest previous factor, and the
+previous and next larger positions its longest later match, both measured up
+to `length`. A window goes if either reaches `length` (or, to keep first
+copies, if the previous factor does).
+
+An anchor met more than CROWD times would make one task as large as its group;
+its windows are dealt one by one, each to the group of its own content (a
+64-bit hash), where each but the first has an earlier match of full length.
 """
 
 from __future__ import annotations
@@ -24,102 +29,94 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .sketches import bucket_bits, look, shared_buckets
+from .sketches import bucket_bits, levels, shared_buckets
 
 LENGTH, GRAM = 400, 128
-#: An anchor met more often is not sent to one task: its windows are counted by hash instead.
-CROWD = 20_000
-BATCH = 2 << 20
+#: The windows of an anchor met more often are dealt one by one.
+CROWD = 2_000
+BATCH = 1 << 20
 #: Bytes of text at a time: the arrays of winnowing take some eighty times as much.
 PIECE = 1 << 20
 
 
-def ranks(data: np.ndarray, depth: int, at: np.ndarray) -> np.ndarray:
-    """Ranks, in lexicographic order, of the strings of `depth` bytes at some positions, by prefix doubling."""
-    n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    code = np.zeros(n, np.uint64)
-    have = 1
-    while have * 2 <= min(depth, 8):
-        have *= 2
-    for k in range(have):
-        code = code << np.uint64(8) | padded[k : k + n]
-    rank = np.unique(code, return_inverse=True)[1].astype(np.int64)
-    while have * 2 <= depth:
-        later = np.concatenate([rank[have:] + 1, np.zeros(min(have, n), np.int64)])[:n]
-        rank = np.unique(rank * (n + 2) + later, return_inverse=True)[1].astype(np.int64)
-        have *= 2
-    if have < depth:
-        rank = np.unique(rank[at] * (n + 2) + rank[at + depth - have] + 1, return_inverse=True)[1]
-        return rank
-    return rank[at]
-
-
-def neighbours(order: np.ndarray, smaller: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """In a suffix order of positions: the nearest before and after each with a smaller (or larger) position, -1 if none."""
-    n = len(order)
-    before, after = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-    stack: list[int] = []
-    values = order.tolist() if smaller else (-order).tolist()
-    for k in range(n):
-        while stack and values[stack[-1]] > values[k]:
-            after[stack.pop()] = k
-        before[k] = stack[-1] if stack else -1
-        stack.append(k)
-    return before, after
-
-
-def longest_previous_factors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """For each position: the length of the longest match that starts earlier (it may overlap), and where (-1 if 0)."""
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.frombuffer(data, np.uint8).astype(np.int64)
-    rank, have = np.unique(at, return_inverse=True)[1].astype(np.int64), 1
-    while rank.max() < n - 1 and have < n:
-        later = np.concatenate([rank[have:] + 1, np.zeros(min(have, n), np.int64)])[:n]
-        rank, have = np.unique(rank * (n + 2) + later, return_inverse=True)[1].astype(np.int64), have * 2
-    order = np.argsort(rank, kind="stable")
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    lcp, h = np.zeros(n + 1, np.int64), 0  # lcp[k]: of the suffixes in places k - 1 and k
-    for i in range(n):
-        if place[i]:
-            j = order[place[i] - 1]
-            while i + h < n and j + h < n and data[i + h] == data[j + h]:
-                h += 1
-            lcp[place[i]] = h
-            h = max(0, h - 1)
-        else:
-            h = 0
-    length, source = np.zeros(n, np.int64), np.full(n, -1, np.int64)
-    for side in (0, 1):
-        near = neighbours(order)[side]
-        for k in range(n):
-            if near[k] >= 0:
-                a, b = sorted((k, int(near[k])))
-                match = int(lcp[a + 1 : b + 1].min())
-                if match > length[order[k]]:
-                    length[order[k]], source[order[k]] = match, order[near[k]]
-    return length, source
+class Suffixes:
+    """Suffixes of a buffer, compared to a depth by ranks of their prefixes of 8, 16, 32 ... bytes (prefix doubling)."""
+
+    def __init__(self, data: np.ndarray, depth: int):
+        n = len(data)
+        self.depth = depth
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        self.code = np.zeros(n, np.uint64)  # the next 8 bytes
+        for k in range(8):
+            self.code = self.code << np.uint64(8) | padded[k : k + n]
+        self.ranks: list[tuple[int, np.ndarray]] = []
+        have, rank = 8, np.unique(self.code, return_inverse=True)[1].astype(np.int32)
+        while have <= depth:
+            self.ranks.append((have, rank))
+            if have * 2 > depth:
+                break
+            later = np.concatenate([rank[have:].astype(np.int64) + 1, np.zeros(min(have, n), np.int64)])[:n]
+            rank, have = np.unique(rank * np.int64(n + 2) + later, return_inverse=True)[1].astype(np.int32), have * 2
+
+    def order(self, at: np.ndarray) -> np.ndarray:
+        """Indices of some positions in suffix order to the depth; suffixes that agree so far stand by position."""
+        if not self.ranks:
+            return np.lexsort((at, self.code[at] >> np.uint64(64 - 8 * self.depth)))
+        have, rank = self.ranks[-1]
+        return np.lexsort((at, rank[at + self.depth - have], rank[at]))
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Lengths of the longest common prefixes of suffixes, to the depth."""
+        length, last = np.zeros(len(a), np.int64), len(self.code) - 1
+        for have, rank in reversed(self.ranks):
+            x, y = np.minimum(a + length, last), np.minimum(b + length, last)
+            length += have * (rank[x] == rank[y])
+        x, y = np.minimum(a + length, last), np.minimum(b + length, last)
+        differ = self.code[x] ^ self.code[y]
+        for k in range(1, 8):
+            length += differ < np.uint64(1) << np.uint64(64 - 8 * k)
+        return np.minimum(length + (differ == 0), self.depth)
+
+
+def neighbours(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest place before and after each one with a smaller value; -1 and len(values) if there is none."""
+
+    def before(v: np.ndarray) -> np.ndarray:
+        v = np.append(v, v.min() - 1 if len(v) else 0)  # -1 stands for the place in front
+        near = np.append(np.arange(-1, len(v) - 2), -1)
+        far = np.flatnonzero(v[near[:-1]] > v[:-1])
+        while len(far):  # all between a place and its candidate are larger: jump to the candidate's own
+            near[far] = near[near[far]]
+            far = far[v[near[far]] > v[far]]
+        return near[:-1]
+
+    return before(values), len(values) - 1 - before(values[::-1])[::-1]
+
+
+def factors(data: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths, to a depth, of the longest match of the suffix at each position (ascending) with one at an earlier and with one at a later position.
+
+    In suffix order the longest earlier match of a suffix is with the previous
+    or the next one of a smaller position, and its longest later match with
+    the previous or the next one of a larger position.
+    """
+    suffixes = Suffixes(data, depth)
+    order = suffixes.order(at)
+    out = []
+    for values in (order, -order):
+        best = np.zeros(len(at), np.int64)
+        for near in neighbours(values):
+            some = np.flatnonzero((near >= 0) & (near < len(order)))
+            here = order[some]
+            best[here] = np.maximum(best[here], suffixes.common(at[here], at[order[near[some]]]))
+        out.append(best)
+    return out[0], out[1]
 
 
 def repeated_starts(data: np.ndarray, at: np.ndarray, length: int, keep_first: bool) -> np.ndarray:
-    """Which positions start a string of `length` bytes that starts earlier too (or later too, unless first copies are kept).
-
-    Factors are measured up to `length` only. In the suffix order cut there,
-    suffixes that agree so far stand together, by position; within such a run
-    the previous smaller position is the element before and the next larger
-    the element after, and neighbours outside a run match less.
-    """
-    rank = ranks(data, length, at)
-    order = np.lexsort((at, rank))
-    same = rank[order][1:] == rank[order][:-1]
-    hit = np.zeros(len(at), bool)
-    hit[order[1:][same]] = True  # longest previous factor >= length
-    if not keep_first:
-        hit[order[:-1][same]] = True  # longest next factor >= length
-    return hit
+    """Which positions start a string of `length` bytes that starts earlier too (or later too, unless first copies are kept)."""
+    earlier, later = factors(data, at, length)
+    return earlier >= length if keep_first else np.maximum(earlier, later) >= length
 
 
 def anchors(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -175,17 +172,18 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, keep_first: bool = False,
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = bucket_bits(n_bytes * 2 / (length - gram + 2) * 16)
-    maps = shared_buckets(docs, lambda offsets, data: [anchors(offsets, data, length, gram)[0]], bits, crowd, PIECE)
+    maps = shared_buckets(docs, lambda offsets, data: [anchors(offsets, data, length, gram)[0]], bits, (1, crowd), PIECE)
     crowded = bool(maps[1].any())
     bitmaps = spark.sparkContext.broadcast(maps)
 
     def candidates(batches):
-        shared, many = bitmaps.value
+        maps = bitmaps.value
         for batch in batches:
             for lo, hi, offsets, data in textkit.segments(batch.column(1), PIECE):
                 hashes, at, first, last = anchors(offsets, data, length, gram)
-                use = look(shared, hashes, bits) > 0
-                hashes, at, first, last = hashes[use], at[use], first[use], last[use]
+                level = levels(maps, hashes, bits)
+                use = level > 0
+                hashes, at, first, last, many = hashes[use], at[use], first[use], last[use], level[use] > 1
                 n = np.bincount(at, minlength=hi - lo)
                 cut = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
                 ids = batch.column(0).slice(lo, hi - lo)
@@ -194,7 +192,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, keep_first: bool = False,
                 key = textkit.mix(textkit.range_hash(running, offsets[:-1], offsets[1:]) ^ textkit.mix(ids.to_numpy().view(np.uint64)))
                 texts = [raw[a:b] if c else None for a, b, c in zip(offsets.tolist(), offsets[1:].tolist(), n.tolist())]
                 sha = [None if c else hashlib.sha256(raw[a:b]).hexdigest() for a, b, c in zip(offsets.tolist(), offsets[1:].tolist(), n.tolist())]
-                lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x)) for x in (hashes.view(np.int64), (first - offsets[at]).astype(np.int32), (last - offsets[at]).astype(np.int32), look(many, hashes, bits) > 0)]
+                lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x)) for x in (hashes.view(np.int64), (first - offsets[at]).astype(np.int32), (last - offsets[at]).astype(np.int32), many)]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(key.view(np.int64)), pa.array(np.diff(offsets)), pa.array(texts, pa.binary()), pa.array(sha, pa.string()), *lists], ["doc_id", "key", "n_bytes", "text", "sha", "anchor", "first", "last", "many"])
 
     rows = textkit.saved(docs.mapInArrow(candidates, "doc_id long, key long, n_bytes long, text binary, sha string, anchor array<long>, first array<int>, last array<int>, many array<boolean>"))

@@ -2,23 +2,34 @@
 
 1. A sketch of all shingles (one counter for about each shingle, cut into
    slices that are summed independently) tells shingles that no second
-   document can have from shared ones. A document is a candidate only if a
-   linked document may exist: two sets with Jaccard similarity t share a
-   shingle among the first n - ceil(t n) + 1 of either, in any common order;
-   the order takes unshared shingles first. Counters that collide only make
-   more candidates, so this loses no link.
-2. Equal sets become one node. Nodes that share a prefix shingle fall into
-   one region (stars around the shingle's smallest node, then connected
-   components): all links are inside regions.
-3. A region of bounded size is joined in one task. Members meet over shared
-   rare shingles; each is first compared with the centres of the cells of
-   those that it meets, joins the nearest within the radius or begins a cell,
-   and is compared with a member only if the triangle inequality, from the two
-   distances to the member's centre, leaves room for a link.
-4. A larger region is split: each member goes to the cell of its nearest
-   pivot (Voronoi), and also to each cell whose pivot is no further than its
-   nearest by more than twice the radius; cells are regions of their own,
-   and are joined recursively.
+   document can have from shared ones, and rare ones from frequent ones. Two
+   sets with Jaccard similarity t share a shingle among the first
+   n - ceil(t n) + 1 of either, in any common order; the order is by the
+   sketch's levels, unshared shingles first. Documents whose prefix holds
+   unshared shingles alone have no links. Counters that collide only make more
+   candidates, so this loses no link.
+2. Equal sets become one node. The members of each prefix shingle elect a
+   pivot, the one with the smallest hash. A pivot's region holds all nodes that
+   meet it over some shingle: of the regions that a node meets, the one of its
+   nearest pivot is its Voronoi region, and the others are those to which it is
+   replicated. Linked nodes share a prefix shingle, so they meet in the region
+   of that shingle's pivot.
+3. A region is joined exactly in parts of a bounded number of shingles, each
+   with the region's pivot. Inside a part the same step repeats: members meet
+   over the part's rarest shingles, centres elected among them begin cells, a
+   member is compared with the centres of the cells that it meets and then only
+   with members for which the triangle inequality, from the two distances to
+   their centre, leaves room for a link.
+4. Regions of several parts go on: members that their part has linked with the
+   pivot are settled among themselves. The others are open; they are cut into
+   rings by their distance to the pivot, and each ring is joined with the
+   members of its triangle-inequality window (all distances that differ by the
+   radius at most), again in parts of bounded size.
+5. Links of all regions are closed to components.
+
+A part holds CELL shingles at most beside its pivot and its last member, at
+every size of the input; step 4 costs the product of a region's open members
+and their windows.
 """
 
 from __future__ import annotations
@@ -30,15 +41,13 @@ from pyspark.sql import functions as F
 
 from . import textkit
 from .components import connected_components
-from .sketches import bucket_bits, look, shared_buckets
+from .sketches import bucket_bits, levels, shared_buckets
 
 SHINGLE = 5
-#: Most shingles of a region that one task joins.
-REGION = 16_000_000
-PIVOTS = 16
-#: Most members of regions whose ids (24 bytes each) are broadcast; more are joined by a shuffle.
-SMALL = 1_000_000
-ROUNDS = 8
+#: Shingles of a region's part.
+CELL = 2_000_000
+#: Width of a ring of distances to a pivot, as a share of the radius.
+RING = 0.5
 
 
 def shingle_sets(offsets: np.ndarray, data: np.ndarray, n: int = SHINGLE):
@@ -69,7 +78,7 @@ def overlaps(linked_num: int, linked_den: int, common, a, b):
     return linked_den * common >= linked_num * (a + b - common)
 
 
-def join_region(sets: list[np.ndarray], num: int = 75, den: int = 100) -> list[int]:
+def join_region(sets: list[np.ndarray], num: int = 75, den: int = 100, active: np.ndarray | None = None) -> list[int]:
     """Components of the exact threshold join of some sets: for each the first member of its component.
 
     Members come by size. Each meets the earlier ones that share one of its
@@ -78,11 +87,14 @@ def join_region(sets: list[np.ndarray], num: int = 75, den: int = 100) -> list[i
     member of another component is compared only if the triangle inequality
     leaves room for a link. A member within the radius of a centre joins its
     cell, others begin one. Members of one component are never compared again.
+    With `active`, only pairs with an active member need be found.
     """
     n, radius = len(sets), 1 - num / den
     sizes = np.array([len(s) for s in sets])
+    active = np.ones(n, bool) if active is None else active
     # shingles that only one member has can't link it; counted in slices of the hash range, so that little is held at once
-    edges = np.arange(1, 64, dtype=np.uint64) << np.uint64(58)
+    bits = max(0, int(sizes.sum()).bit_length() - 18)
+    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(0, np.uint64)
     cuts = [np.concatenate(([0], np.searchsorted(s, edges), [len(s)])) for s in sets]
     found, counts = [], []
     for k in range(len(edges) + 1):
@@ -103,7 +115,7 @@ def join_region(sets: list[np.ndarray], num: int = 75, den: int = 100) -> list[i
     label = np.arange(n)
     members = {k: [k] for k in range(n)}
     centre, reach = np.arange(n), np.zeros(n)
-    postings: dict[int, list[int]] = {}
+    postings: tuple[dict[int, list[int]], ...] = ({}, {})  # of passive and of active members
 
     def union(a: int, b: int) -> None:
         a, b = int(label[a]), int(label[b])
@@ -118,7 +130,10 @@ def join_region(sets: list[np.ndarray], num: int = 75, den: int = 100) -> list[i
         own = shared[x]
         first = size - -(-num * size // den) + 1 - (size - len(own))  # after the shingles of x alone
         rare = own[np.lexsort((own, count[own]))[: max(0, first)]].tolist()
-        met = np.unique(np.array([k for t in rare for k in postings.get(t, ())], np.int64))
+        met = [k for t in rare for k in postings[1].get(t, ())]
+        if active[x]:
+            met += [k for t in rare for k in postings[0].get(t, ())]
+        met = np.unique(np.array(met, np.int64))
         met = met[den * sizes[met] >= num * size]
         if len(met):
             mark[own] = True
@@ -139,97 +154,120 @@ def join_region(sets: list[np.ndarray], num: int = 75, den: int = 100) -> list[i
                     union(x, k)
             mark[own] = False
         for t in rare:
-            postings.setdefault(t, []).append(x)
+            postings[int(active[x])].setdefault(t, []).append(x)
     least = {}
     for k in range(n):
         least.setdefault(int(label[k]), k)
     return [least[int(label[k])] for k in range(n)]
 
 
-def joined(rows: DataFrame) -> DataFrame:
-    """Edges (a, b) from each member of a region to the first of its component; rows: region, node, shingles."""
+def joined(rows: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
+    """(region, a, b, d, open): each member of a part linked with the first of its component there.
+
+    rows: region, part, pivot, node, active, shingles. Of rows with `active`
+    null, all pairs are joined, d is the distance to the part's pivot, and
+    `open` tells whether the part leaves the member apart from it; the others
+    give links alone.
+    """
 
     def work(batches):
-        region, nodes, sets = None, [], []
+        key, nodes, flags, sets, held = None, [], [], [], []
 
         def flush():
             if len(nodes) > 1:
-                roots = join_region(sets)
-                edges = [(nodes[k], nodes[r]) for k, r in enumerate(roots) if k != r]
-                if edges:
-                    a, b = zip(*edges)
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                region, _, pivot = key
+                first = flags[0] is None
+                roots = join_region(sets, num, den, None if first else np.array(flags))
+                at = nodes.index(pivot) if first else -1
+                for k, r in enumerate(roots):
+                    if first:
+                        common = len(np.intersect1d(sets[k], sets[at], assume_unique=True))
+                        held.append((region, nodes[k], nodes[r], 1 - common / (len(sets[k]) + len(sets[at]) - common), r != roots[at]))
+                    elif k != r:
+                        held.append((region, nodes[k], nodes[r], None, None))
             nodes.clear()
+            flags.clear()
             sets.clear()
 
+        def out():
+            columns = list(zip(*held)) or [()] * 5
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()))], ["region", "a", "b", "d", "open"])
+
         for batch in batches:
-            for r, node, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if r != region:
-                    yield from flush()
-                    region = r
+            for region, part, pivot, node, active, blob in zip(*(batch.column(k).to_pylist() for k in range(5)), batch.column(5)):
+                if (region, part, pivot) != key:
+                    flush()
+                    key = (region, part, pivot)
+                elif nodes and node == nodes[-1]:  # rows that share a doc_id and a set
+                    continue
                 nodes.append(node)
+                flags.append(active)
                 sets.append(np.frombuffer(blob.as_buffer(), "<u8"))
-        yield from flush()
-
-    return rows.select("region", "node", "shingles").repartition("region").sortWithinPartitions("region", "node").mapInArrow(work, "a long, b long")
+            if len(held) > 50_000:
+                yield out()
+        flush()
+        if held:
+            yield out()
 
+    ready = rows.select("region", "part", "pivot", "node", "active", "shingles").repartition("region", "part").sortWithinPartitions("region", "part", "pivot", "node")
+    return ready.mapInArrow(work, "region long, a long, b long, d double, open boolean")
 
-def split(rows: DataFrame, num: int = 75, den: int = 100) -> tuple[DataFrame, DataFrame]:
-    """One level of recursion on large regions: (links of members to pivots, rows of the Voronoi cells that are not settled).
 
-    A cell is settled when all its members link to its pivot. In another one,
-    linked members stay only if the triangle inequality allows them a link to
-    one that isn't.
-    """
+def joined_regions(meets: DataFrame, sets: DataFrame, num: int = 75, den: int = 100, cell: int = CELL) -> DataFrame:
+    """(a, b): links of all regions. meets: region (its pivot's node), node, n; sets: node, shingles."""
     radius = 1 - num / den
-    key = F.struct(F.xxhash64("node", "region").alias("h"), "node")
-    drawn = rows.groupBy("region").agg(*(F.min(F.when(F.pmod(F.xxhash64("node"), F.lit(PIVOTS)) == k, key)).alias(f"m{k}") for k in range(PIVOTS)))
-    chosen = drawn.select("region", F.explode(F.array(*(F.col(f"m{k}.node") for k in range(PIVOTS)))).alias("node")).where("node is not null")
-    table = rows.join(chosen, ["region", "node"]).groupBy("region").agg(F.collect_list(F.struct("node", "shingles")).alias("pivots"))  # PIVOTS members at most
-
-    def work(batches):
-        for batch in batches:
-            out = []
-            for region, node, n, blob, pivots in zip(*(c.to_pylist() for c in batch.columns)):
-                own = np.frombuffer(blob, "<u8")
-                far = []
-                for p in pivots:
-                    other = np.frombuffer(p["shingles"], "<u8")
-                    common = len(np.intersect1d(own, other, assume_unique=True))
-                    far.append((p["node"], 1 - common / (len(own) + len(other) - common), bool(overlaps(num, den, common, len(own), len(other)))))
-                least = min(d for _, d, _ in far)
-                for pivot, d, near in far:
-                    if d <= least + 2 * radius + 1e-9:
-                        cell = textkit.mix(np.array([region ^ pivot], np.int64).view(np.uint64)).view(np.int64)[0]
-                        out.append((int(cell), node, n, blob, pivot, d, near))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.float64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out) if out else [()] * 7, kinds)], ["region", "node", "n", "shingles", "pivot", "d", "near"])
-
-    cells = textkit.saved(rows.join(table, "region").select("region", "node", "n", "shingles", "pivots").mapInArrow(work, "region long, node long, n int, shingles binary, pivot long, d double, near boolean"))
-    links = cells.where("near and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    open_ = cells.where("not near").groupBy("region").agg(F.min("d").alias("nearest"))
-    left = cells.join(open_, "region").where(F.expr(f"not near or d >= nearest - {radius} - 1e-9"))
-    return links, left.select("region", "node", "n", "shingles")
-
-
-def jaccard_groups(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
+    none = F.lit(None).cast("boolean")
+    parts = textkit.saved(meets.groupBy("region").agg(F.ceil(F.sum(F.col("n").cast("long")) / cell).cast("int").alias("parts")).where("parts > 1"))
+    large = parts.count()
+    if not large:
+        placed = meets.select("region", F.lit(0).alias("part"), "node")
+    else:
+        many = F.coalesce("parts", F.lit(1))
+        own = F.when(F.col("node") == F.col("region"), F.sequence(F.lit(0), many - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", "region"), many).cast("int")))
+        placed = meets.join(textkit.sized(parts, 12), "region", "left").select("region", F.explode(own).alias("part"), "node")
+    links = joined(sets.join(textkit.sized(placed, 24), "node").select("region", "part", F.col("region").alias("pivot"), "node", none.alias("active"), "shingles"), num, den)
+    if not large:
+        return links.where("a <> b").select("a", "b")
+    links = textkit.saved(links)
+    # members of large regions; the pivot is in each part
+    state = links.join(textkit.sized(parts, 12), "region", "left_semi").where("a <> region").select("region", F.col("a").alias("node"), "d", "open").join(meets, ["region", "node"])
+    width = RING * radius
+    ring = F.floor(F.col("d") / width).cast("int")
+    rings = state.where("open").groupBy("region", ring.alias("ring")).agg(F.ceil(2 * F.sum(F.col("n").cast("long")) / cell).cast("int").alias("blocks"))
+    window = state.join(rings, "region").where((F.col("d") >= F.col("ring") * width - radius - 1e-9) & (F.col("d") <= (F.col("ring") + 1) * width + radius + 1e-9))
+    window = textkit.saved(window.withColumn("active", F.col("open") & (ring == F.col("ring"))))
+    chunks = window.groupBy("region", "ring").agg(F.ceil(2 * F.sum(F.col("n").cast("long")) / cell).cast("int").alias("chunks"))
+    block, chunk = F.pmod(F.xxhash64("node", "region"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("region", "node"), F.col("chunks")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    both = window.join(chunks, ["region", "ring"]).withColumns({"block": block, "chunk": chunk})
+    passive = both.withColumn("k", every("blocks")).where(~F.col("active") | (F.col("k") != F.col("block"))).select("region", "ring", F.col("k").alias("block"), "chunk", "node", F.lit(False).alias("active"))
+    active = both.where("active").withColumn("k", every("chunks")).select("region", "ring", "block", F.col("k").alias("chunk"), "node", F.lit(True).alias("active"))
+    rest = passive.union(active).select("region", F.xxhash64("ring", "block", "chunk").alias("part"), F.col("ring").cast("long").alias("pivot"), "node", "active")
+    more = joined(sets.join(rest, "node"), num, den)
+    return links.where("a <> b").select("a", "b").union(more.select("a", "b"))
+
+
+def jaccard_groups(docs: DataFrame, num: int = 75, den: int = 100, cell: int = CELL) -> DataFrame:
     """One row for each row with a doc_id: doc_id, n_shingles, component_id.
 
     Rows without a doc_id are left out. Null texts and texts without words
     have no shingles and link with nothing; texts with fewer words than a
     shingle have their whole sequence as the only one. Rows that share a
-    doc_id are each their own document; equal rows give equal results. Other
-    columns are ignored.
+    doc_id are each their own document; equal rows give equal results. An
+    empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     textkit.on_workers(spark)
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = bucket_bits(n_bytes / 6)
-    bitmaps = spark.sparkContext.broadcast(shared_buckets(docs, lambda offsets, data: [*shingle_sets(offsets, data)], bits, 64))
+    load = n_bytes / 6 / (1 << bits)  # of a bucket; only more than that tells frequent shingles
+    steps = (1, int(load + 3 * load**0.5 + 3), int(load + 6 * load**0.5 + 32))
+    bitmaps = spark.sparkContext.broadcast(shared_buckets(docs, lambda offsets, data: [*shingle_sets(offsets, data)], bits, steps))
 
     def nodes(batches):
-        shared, many = bitmaps.value
+        maps = bitmaps.value
         for batch in batches:
             for lo, hi, offsets, data in textkit.segments(batch.column(1)):
                 size, node, blobs, prefixes = [], [], [], []
@@ -242,13 +280,12 @@ def jaccard_groups(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
                         prefixes.append(None)
                         continue
                     node.append(int(textkit.mix(np.array([int(s.sum(dtype=np.uint64)) ^ int(np.bitwise_xor.reduce(textkit.mix(s))) * 3 + n & (1 << 64) - 1], np.uint64)).view(np.int64)[0]))
-                    twice = look(shared, s, bits)
+                    level = levels(maps, s, bits)
                     first = n - -(-num * n // den) + 1
-                    if n - int(twice.sum()) >= first:
+                    if int((level == 0).sum()) >= first:
                         blobs.append(None)
                         prefixes.append(None)
                         continue
-                    level = twice + look(many, s, bits)
                     order = np.argsort(level, kind="stable")[:first]
                     blobs.append(s.astype("<u8").tobytes())
                     prefixes.append(s[order[level[order] > 0]].view(np.int64).tolist())
@@ -256,31 +293,20 @@ def jaccard_groups(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
 
     rows = textkit.saved(docs.mapInArrow(nodes, "doc_id long, n_shingles long, node long, shingles binary, prefix array<long>"))
     candidates = rows.where("shingles is not null")
-    prefix = candidates.select("node", F.explode("prefix").alias("token")).distinct()
-    centres = prefix.groupBy("token").agg(F.min("node").alias("b"), F.count("*").alias("m")).where("m > 1").select("token", "b")
-    regions = textkit.saved(connected_components(prefix.join(centres, "token").select(F.col("node").alias("a"), "b")))
-    # one document stands for a node, so that sets move once, to their regions
-    chosen = textkit.saved(candidates.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(regions, "node").select("node", "doc_id", F.col("root").alias("region")))
-    small = chosen.count() <= SMALL
-    members = candidates.select("node", "doc_id", F.col("n_shingles").cast("int").alias("n"), "shingles").join(F.broadcast(chosen) if small else chosen, ["node", "doc_id"]).select("region", "node", "n", "shingles")
-    edges = []
-    for step in range(ROUNDS):
-        size = members.groupBy("region").agg(F.sum(F.col("n").cast("long")).alias("total"))
-        big = size.where(F.col("total") > REGION).select("region")
-        if step == ROUNDS - 1 or not big.limit(1).count():
-            edges.append(joined(members))
-            break
-        edges.append(joined(members.join(big, "region", "left_anti")))
-        links, cells = split(members.join(big, "region", "left_semi"), num, den)
-        edges.append(links)
-        members = textkit.saved(cells)
-    links = edges[0]
-    for e in edges[1:]:
-        links = links.union(e)
-    roots = connected_components(links) if len(edges) > 1 else links.where("a <> b").select(F.col("a").alias("node"), F.col("b").alias("root")).distinct()
-    named = rows.where("node is not null").select("doc_id", "n_shingles", "node").join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("group"))
-    least = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    with_sets = named.join(least, "group").select("doc_id", "n_shingles", "component_id")
+    prefix = textkit.saved(candidates.select("node", F.explode("prefix").alias("token")).distinct())
+    pivots = textkit.saved(prefix.groupBy("token").agg(F.min("node").alias("region"), F.count("*").alias("m")).where("m > 1").select("token", "region"))
+    met = prefix.join(pivots, "token").select("region", "node").distinct()
+    # one document stands for a node
+    chosen = candidates.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").cast("int").alias("n"))
+    meets = textkit.saved(met.join(chosen, "node").select("region", "node", "n", "doc_id"))
+    chosen = textkit.saved(meets.select("node", "doc_id").distinct())
+    sets = candidates.select("node", "doc_id", "shingles").join(textkit.sized(chosen, 24), ["node", "doc_id"], "left_semi").select("node", "shingles")
+    links = joined_regions(meets.drop("doc_id"), sets, num, den, cell)
+    roots = textkit.saved(connected_components(links))
+    named = rows.where("node is not null").select("doc_id", "n_shingles", "node").join(textkit.sized(roots, 24), "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("group"))
+    # only groups of several rows need a minimum; it is written, so that both sides of the join are dealt for it alone
+    least = textkit.saved(named.groupBy("group").agg(F.min("doc_id").alias("least"), F.count("*").alias("m")).where("m > 1").select("group", "least"))
+    with_sets = named.join(textkit.sized(least, 24), "group", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
     return with_sets.union(rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 

@@ -9,16 +9,18 @@ from pyspark.sql import DataFrame
 from . import textkit
 
 SLICES = 64
+#: Hashes that a task holds before it sends them.
+HELD = 1_500_000
 
 
-def shared_buckets(docs: DataFrame, hashes, bits: int, most: int, piece: int = textkit.SEGMENT) -> tuple[np.ndarray, np.ndarray]:
-    """Bitmaps over 2**bits buckets of hashes: those met twice or more, and those met more than `most` times.
+def shared_buckets(docs: DataFrame, hashes, bits: int, steps: tuple[int, ...], piece: int = textkit.SEGMENT) -> tuple[np.ndarray, np.ndarray]:
+    """Levels of 2**bits buckets of hashes, as two bitmaps (the low and the high bit): how many of the ascending `steps`, three at most, a bucket's count exceeds.
 
     hashes(offsets, bytes) gives the hash arrays of a segment of `text`. All
     texts are counted. Tasks send each hash as the few bytes of its bucket;
     the buckets are cut into SLICES slices, summed apart from each other in
     memory that depends on bits alone. Two hashes in one bucket can only make
-    a bitmap say more than is true.
+    a level higher than it is.
     """
     low = bits - SLICES.bit_length() + 1  # bits of a bucket inside its slice
 
@@ -38,7 +40,7 @@ def shared_buckets(docs: DataFrame, hashes, bits: int, most: int, piece: int = t
                 if sets:
                     held.append(np.concatenate(sets))
                     size += len(held[-1])
-                    if size > 3_000_000:
+                    if size > HELD:
                         yield flush()
                         size = 0
         if held:
@@ -56,15 +58,16 @@ def shared_buckets(docs: DataFrame, hashes, bits: int, most: int, piece: int = t
                 u, n = np.unique(at, return_counts=True)
                 count[u] = np.minimum(count[u].astype(np.int64) + n, 65535)
         for k, count in counts.items():
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "shared": pa.array([np.packbits(count > 1).tobytes()], pa.binary()), "many": pa.array([np.packbits(count > most).tobytes()], pa.binary())})
+            level = sum((count > x).astype(np.uint8) for x in steps)
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "low": pa.array([np.packbits(level & 1).tobytes()], pa.binary()), "high": pa.array([np.packbits(level >> 1).tobytes()], pa.binary())})
 
-    shared, many = np.zeros(1 << bits >> 3, np.uint8), np.zeros(1 << bits >> 3, np.uint8)
+    lows, highs = np.zeros(1 << bits >> 3, np.uint8), np.zeros(1 << bits >> 3, np.uint8)
     step = 1 << low >> 3
-    rows = docs.select("text").mapInArrow(emit, "slice int, buckets binary").repartition("slice").mapInArrow(add, "slice int, shared binary, many binary")
+    rows = docs.select("text").mapInArrow(emit, "slice int, buckets binary").repartition("slice").mapInArrow(add, "slice int, low binary, high binary")
     for k, a, b in rows.collect():  # SLICES rows of a fixed size
-        shared[k * step : (k + 1) * step] = np.frombuffer(a, np.uint8)
-        many[k * step : (k + 1) * step] = np.frombuffer(b, np.uint8)
-    return shared, many
+        lows[k * step : (k + 1) * step] = np.frombuffer(a, np.uint8)
+        highs[k * step : (k + 1) * step] = np.frombuffer(b, np.uint8)
+    return lows, highs
 
 
 def bucket_bits(n: float) -> int:
@@ -72,7 +75,8 @@ def bucket_bits(n: float) -> int:
     return min(30, max(20, int(n).bit_length()))
 
 
-def look(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
-    """0 or 1 for each hash."""
+def levels(bitmaps: tuple[np.ndarray, np.ndarray], hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The level of each hash's bucket, 0 to 3."""
     bucket = hashes >> np.uint64(64 - bits)
-    return bitmap[bucket >> np.uint64(3)] >> (np.uint64(7) - (bucket & np.uint64(7))).astype(np.uint8) & 1
+    byte, bit = bucket >> np.uint64(3), (np.uint64(7) - (bucket & np.uint64(7))).astype(np.uint8)
+    return (bitmaps[0][byte] >> bit & 1) + 2 * (bitmaps[1][byte] >> bit & 1)

@@ -128,19 +128,32 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[at + np.arange(total)]
 
 
+#: Workers outlive their tasks: with these, large arrays go back to the system when they are freed.
+MEMORY = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Most bytes of a table that is broadcast.
+BROADCAST = 24 << 20
+
+
 def on_workers(spark) -> None:
-    """Let Python workers that start from now on import this package."""
+    """Let Python workers that start from now on import this package and give freed memory back."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     paths = [p for p in [*env.get("PYTHONPATH", "").split(os.pathsep), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    env.update(MEMORY)
 
 
 def shared_dir(spark) -> str:
-    """A fresh path in the folder that all executors share (spark.checkpoint.dir); one's own only where it is unset."""
+    """A fresh path in the folder that all executors share (spark.checkpoint.dir).
+
+    Where it is unset, a folder of this machine serves if driver and executors
+    are one process (local mode); on a cluster that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{Path(os.environ.get('TMPDIR', '/tmp')).resolve()}/checkpoints"
     return f"{base.rstrip('/')}/lexloom-{uuid.uuid4().hex}"
 
@@ -154,6 +167,13 @@ def saved(df, path: str | None = None):
     return spark.read.schema(schema).parquet(path)
 
 
+def sized(df, width: int):
+    """A table of rows of `width` bytes at most, marked for broadcast if all of it has BROADCAST bytes at most; else as it is, for a shuffle."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() * width <= BROADCAST else df
+
+
 def documents(spark, sf_dir: str):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
