@@ -33,7 +33,7 @@ from .sketches import bucket_bits, levels, shared_buckets
 
 LENGTH, GRAM = 400, 128
 #: The windows of an anchor met more often are dealt one by one.
-CROWD = 2_000
+CROWD = 20_000
 BATCH = 1 << 20
 #: Bytes of text at a time: the arrays of winnowing take some eighty times as much.
 PIECE = 1 << 20
