@@ -24,7 +24,8 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
         large = both.where("o > n").join(low, "n").select(F.col("o").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
-        new = textkit.saved(small)
+        old, new = e, textkit.saved(small)
+        textkit.discard(old)
         # a star forest: no node is both a centre and a leaf, and no leaf has two centres
         many = new.groupBy("a").count().where("count > 1").limit(1).count()
         if not many and not new.select("a").join(new.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count():

@@ -45,7 +45,7 @@ from .sketches import bucket_bits, levels, shared_buckets
 
 SHINGLE = 5
 #: Shingles of a region's part.
-CELL = 2_000_000
+CELL = 500_000
 #: Width of a ring of distances to a pivot, as a share of the radius.
 RING = 0.5
 
@@ -292,6 +292,7 @@ def jaccard_groups(docs: DataFrame, num: int = 75, den: int = 100, cell: int = C
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(blobs, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "shingles", "prefix"])
 
     rows = textkit.saved(docs.mapInArrow(nodes, "doc_id long, n_shingles long, node long, shingles binary, prefix array<long>"))
+    bitmaps.destroy()  # all that needs them is written
     candidates = rows.where("shingles is not null")
     prefix = textkit.saved(candidates.select("node", F.explode("prefix").alias("token")).distinct())
     pivots = textkit.saved(prefix.groupBy("token").agg(F.min("node").alias("region"), F.count("*").alias("m")).where("m > 1").select("token", "region"))
@@ -303,6 +304,7 @@ def jaccard_groups(docs: DataFrame, num: int = 75, den: int = 100, cell: int = C
     sets = candidates.select("node", "doc_id", "shingles").join(textkit.sized(chosen, 24), ["node", "doc_id"], "left_semi").select("node", "shingles")
     links = joined_regions(meets.drop("doc_id"), sets, num, den, cell)
     roots = textkit.saved(connected_components(links))
+    textkit.discard(prefix, pivots, meets, chosen)
     named = rows.where("node is not null").select("doc_id", "n_shingles", "node").join(textkit.sized(roots, 24), "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("group"))
     # only groups of several rows need a minimum; it is written, so that both sides of the join are dealt for it alone
     least = textkit.saved(named.groupBy("group").agg(F.min("doc_id").alias("least"), F.count("*").alias("m")).where("m > 1").select("group", "least"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once; a longer text makes a segment of its own.
-SEGMENT = 2 << 20
+SEGMENT = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -31,7 +31,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse, modulo 2**64."""
     if len(_powers[0]) < n:
-        size = max(n, SEGMENT + (1 << 20))
+        size = max(n, SEGMENT + (1 << 18))
         for k, base in enumerate((_BASE, _INV)):
             x = np.full(size, base, np.uint64)
             x[0] = 1
@@ -164,7 +164,26 @@ def saved(df, path: str | None = None):
     path = path or shared_dir(spark)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.lexloom_path = path
+    return out
+
+
+def discard(*tables) -> None:
+    """Delete the folders of saved tables that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "lexloom_path", None):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """A column name that a table doesn't have, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def sized(df, width: int):
