@@ -16,8 +16,13 @@ from . import textkit
 
 BLANKS = " \t\n\x0b\x0c\r"
 MIN_SITES, MIN_CHARS, LOG_K, MARGIN = 10, 16, 12, 0.3
-#: Most texts with removed lines whose line numbers are broadcast; more are joined by a shuffle.
-SMALL = 1_000_000
+#: Bytes of a broadcast row, beside 8 for each of its line numbers.
+ROW = 96
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once for a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def line_hash(line: Column, min_chars: int) -> Column:
@@ -42,21 +47,25 @@ def without_shared_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars:
     around them, and those of fewer than min_chars characters never go. A null
     source counts as one site of its own. Null and empty texts have no lines
     and stay as they are. Rows that share a doc_id and text lose the same
-    lines. Other columns are kept; columns named n_lines or n_removed are
-    replaced, and so are __line_text and __line_numbers.
+    lines; an empty table gives no rows. Other columns are kept; columns named
+    n_lines or n_removed are replaced.
     """
-    docs = docs.where("doc_id is not null").drop("n_lines", "n_removed", "__line_text", "__line_numbers")
-    key = F.xxhash64("text")
-    numbered = docs.select("doc_id", key.alias("__line_text"), F.coalesce("source", F.lit("")).alias("source"), F.posexplode(F.transform(F.split("text", "\n"), lambda x: line_hash(x, min_chars))).alias("at", "line")).where("line is not null")
+    docs = docs.where("doc_id is not null").drop("n_lines", "n_removed")
+    key, numbers, own_id, own_text = F.xxhash64("text"), *(textkit.free_name(docs.columns, x) for x in ("line_numbers", "line_doc", "line_text"))
+    # texts are cut into lines once; what follows reads hashes
+    numbered = textkit.saved(docs.select("doc_id", key.alias("text_key"), F.coalesce("source", F.lit("")).alias("source"), F.posexplode(F.transform(F.split("text", "\n"), lambda x: line_hash(x, min_chars))).alias("at", "line")).where("line is not null"))
     shared = shared_lines(numbered.select("doc_id", "at", "line", "source"), min_sites)
-    hits = numbered.select("doc_id", "__line_text", "at", "line").join(shared, "line").where("doc_id <> first_doc or at <> first_at")
-    gone = textkit.saved(hits.groupBy("doc_id", "__line_text").agg(F.collect_set("at").alias("__line_numbers")))
-    if gone.count() <= SMALL:
-        gone = F.broadcast(gone)
-    joined = docs.withColumn("__line_text", key).join(gone, ["doc_id", "__line_text"], "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains("__line_numbers", k)), "\n")
-    n_lines = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
-    new = {"n_lines": n_lines, "n_removed": F.coalesce(F.size("__line_numbers"), F.lit(0)).cast("long"), "text": F.when(F.col("__line_numbers").isNull(), F.col("text")).otherwise(kept)}
+    hits = numbered.select("doc_id", "text_key", "at", "line").join(shared, "line").where("doc_id <> first_doc or at <> first_at")
+    gone = textkit.saved(hits.groupBy("doc_id", "text_key").agg(F.collect_set("at").alias(numbers)))
+    textkit.discard(numbered)
+    size = gone.agg(F.sum(ROW + 8 * F.size(numbers).cast("long"))).first()[0] or 0
+    gone = gone.withColumnsRenamed({"doc_id": own_id, "text_key": own_text})
+    joined = docs.join(F.broadcast(gone) if size <= textkit.BROADCAST else gone, (docs["doc_id"] == gone[own_id]) & (key == gone[own_text]), "left")
+    lines = F.split("text", "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(numbers))
+    kept = let(lines, lambda x: F.array_join(F.transform(left, lambda k: F.get(x, k)), "\n"))
+    n_lines = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(lines)).cast("long")
+    new = {"n_lines": n_lines, "n_removed": F.coalesce(F.size(numbers), F.lit(0)).cast("long"), "text": F.when(F.col(numbers).isNull(), F.col("text")).otherwise(kept)}
     return joined.select(*[new["text"].alias("text") if c == "text" else F.col(c) for c in docs.columns], new["n_lines"].alias("n_lines"), new["n_removed"].alias("n_removed"))
 
 
