@@ -30,7 +30,7 @@ BIT = {name: 1 << k for k, (name, _) in enumerate(RULES)}
 BASE = BIT["few_words"] | BIT["repeated_words"]
 POLICIES = {1: BASE, 2: BASE | BIT["symbols"] | BIT["capitals"] | BIT["marks"], 3: (1 << len(RULES)) - 1}
 CURRENT = 3
-#: With so many repeated windows at most, membership is tested against a list; with more, by neighbours in sorted order.
+#: With so many repeated windows at most, membership is tested against a list; with more, by neighbours in sorted order. Both are exact and give the same; the list is cheaper for the many texts with few repeats.
 FEW = 8
 
 
@@ -119,8 +119,19 @@ def ablations(rows: DataFrame, version: int = CURRENT) -> DataFrame:
     return rows.agg(F.array(*aggregates).alias("rules")).select(F.inline("rules"))
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks")
+
+
+def kept_ledger(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The ledger, written and read again: the one pass over texts that all policies and ablations share."""
+    return textkit.saved(ledger(docs), path)
+
+
 def op5_rule_ledger(spark, sf_dir: str) -> DataFrame:
-    return apply_policy(ledger(textkit.documents(spark, sf_dir))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures")
+    """The current policy's verdicts from the stored ledger, and for each earlier version whether it keeps the text."""
+    rows = kept_ledger(textkit.documents(spark, sf_dir))
+    older = [(F.col("failures").bitwiseAND(F.lit(mask | BASE)) == 0).alias(f"kept_v{version}") for version, mask in POLICIES.items() if version != CURRENT]
+    return apply_policy(rows).select("doc_id", *MEASURES[:5], "base_failed", "kept", "failures", *MEASURES[5:], *older)
 
 
 OP5_SQL = """
@@ -140,5 +151,6 @@ m as (
 n as (select *, len(ls)::bigint as n_lines, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines from m),
 b as (select *, (n_words < 50)::bigint + 2 * (100 * n_repeat_words > 50 * n_words)::bigint + 4 * (10 * n_symbols > word_chars)::bigint + 8 * (10 * n_dup_lines > 5 * n_lines)::bigint
     + 16 * (2 * n_capitals > word_chars)::bigint + 32 * (20 * n_marks > word_chars)::bigint + 64 * (word_chars > 20 * n_words or word_chars < 2 * n_words)::bigint as failures from n)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 as base_failed, failures = 0 as kept, failures from b
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 as base_failed, failures = 0 as kept, failures, n_lines, n_capitals, n_marks,
+  (failures & 3) = 0 as kept_v1, (failures & 55) = 0 as kept_v2 from b
 """
