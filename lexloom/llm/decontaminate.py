@@ -2,17 +2,25 @@
 
 The index holds the test items; every passage of the corpus (PASSAGE words,
 every PASSAGE / 2 words) is a query. An item is retrieved if its BM25 score
-reaches its threshold, a share of the score of the item against itself;
-impacts are stored divided by the item's threshold, so one threshold, 1, holds
-for all. Passages are first bounded together: an item's frequent terms alone
+reaches its threshold: SHARE of the score of the item against itself, and for
+items of more than 3/4 of a passage's words that share of what so many words
+score on average, as a passage can't hold more of them; impacts are stored
+divided by the item's threshold, so one threshold, 1, holds for all. Passages are first bounded together: an item's frequent terms alone
 can't reach its threshold, so a passage needs enough of its rare terms, and
 only such passages are evaluated, by block-max WAND. A retrieved item counts
-as leaked if the passages hold enough of both its question and its answer.
+as leaked if the passages hold enough of both its question and its answer, as
+shares of their GRAM-word sequences; an item whose question or answer is
+shorter than that must be held whole, as one sequence of its own length or as
+GRAM-word sequences.
+
+The items are searched in shards of INDEX_BYTES, one scan of the corpus for
+each; a worker builds a shard's index once.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +35,7 @@ K1, B = 1.2, 0.75
 BLOCK = 16
 #: Bytes of items in one index; more items are searched in several passes.
 INDEX_BYTES = 16 << 20
+_built: dict[str, "Index"] = {}
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
@@ -45,8 +54,13 @@ def word_hashes(text: str) -> np.ndarray:
     return textkit.range_hash(textkit.prefix_hash(data), starts, ends) if len(starts) else np.zeros(0, np.uint64)
 
 
-def grams(words: np.ndarray) -> np.ndarray:
-    return np.unique(textkit.gram_hash(words, min(GRAM, len(words)))) if len(words) else np.zeros(0, np.uint64)
+def item_grams(text: str) -> tuple[int, list[np.ndarray]]:
+    """(n, [n-grams of the question, of the answer]); both are the whole item's where either has fewer than GRAM words."""
+    parts = [word_hashes(p) for p in question_and_answer(text)]
+    if min(map(len, parts)) < GRAM:
+        parts = [word_hashes(text)] * 2
+    n = min(GRAM, len(parts[0]))
+    return n, [np.unique(textkit.gram_hash(p, n)) for p in parts]
 
 
 class Index:
@@ -55,7 +69,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [k for k, _ in items]
         words = [word_hashes(t) for _, t in items]
-        self.parts = [tuple(grams(word_hashes(p)) for p in question_and_answer(t)) for _, t in items]
+        self.parts = [item_grams(t) for _, t in items]
         lengths = np.array([len(w) for w in words], np.float64)
         mean = lengths.mean()
         counts = [np.unique(w, return_counts=True) for w in words]
@@ -176,7 +190,9 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     Documents without a doc_id, and items without an id or without words, are
     left out; null and empty texts hold nothing; rows that share a doc_id give
-    a row for each; an empty benchmark gives no rows. Other columns are ignored.
+    a row for each; items that share an id are items of their own, and equal
+    rows of the benchmark one; an empty benchmark gives no rows. An item of one
+    word is held by every document with that word. Other columns are ignored.
     """
     spark = docs.sparkSession
     textkit.on_workers(spark)
@@ -189,15 +205,24 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     for shard in range(shards):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard).orderBy("item_id", "text").collect()  # INDEX_BYTES on average
         if rows:
-            shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in rows])
+            shared = spark.sparkContext.broadcast((uuid.uuid4().hex, [(r[0], r[1]) for r in rows]))
             part = docs.mapInArrow(search_with(shared), schema)
             out = part if out is None else out.union(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
+def built(shared) -> Index:
+    """The index of a shard, built once in a worker; only the last one stays."""
+    name, items = shared.value
+    if name not in _built:
+        _built.clear()
+        _built[name] = Index(items)
+    return _built[name]
+
+
 def search_with(shared):
     def work(batches):
-        index, half = Index(shared.value), PASSAGE // 2
+        index, half = built(shared), PASSAGE // 2
         for batch in batches:
             for lo, hi, offsets, low in textkit.segments(pc.utf8_lower(batch.column(1))):
                 starts, ends, docs = textkit.word_spans(offsets, low)
@@ -215,13 +240,11 @@ def search_with(shared):
                     for item, score in index.search(query[query >= 0]).items():
                         x = found.setdefault((d, item), [0, 0.0, a, b])
                         x[0], x[1], x[3] = x[0] + 1, max(x[1], score * index.threshold[item]), b
-                        x.append(textkit.gram_hash(hashes[max(first[d], a - half) : min(first[d + 1], b + half)], GRAM))
+                        x.append(hashes[max(first[d], a - half) : min(first[d + 1], b + half)])
                 out = []
                 for (d, item), x in found.items():
-                    near = np.concatenate(x[4:])
-                    parts = index.parts[item]
-                    if any(len(p) < 1 for p in parts):
-                        continue
+                    size, parts = index.parts[item]
+                    near = np.concatenate([textkit.gram_hash(w, size) for w in x[4:]])
                     q, answer = (float(np.isin(p, near).mean()) for p in parts)
                     if q >= OVERLAP and answer >= OVERLAP:
                         out.append((d, index.ids[item], x[0], x[1], q, answer))
