@@ -55,7 +55,7 @@ def is_training(doc_ids, fold: int = 1) -> np.ndarray:
     return np.array([textkit.crc_mod(k, 5) != fold for k in doc_ids], bool)
 
 
-def training_words(batches):
+def training_words(batches, fold: int = 1):
     """(hash, ending, n, texts) summed over a task; the end token's row has hash 0."""
     held: list[tuple] = []
     texts = 0
@@ -67,7 +67,7 @@ def training_words(batches):
         held.append((u, e[first], np.bincount(inverse, n, len(u)).astype(np.int64)))
 
     for batch in batches:
-        use = is_training(batch.column(0).to_pylist())
+        use = is_training(batch.column(0).to_pylist(), fold)
         for lo, hi, offsets, data in textkit.segments(batch.column(1)):
             hashes, endings, docs = tokens(offsets, data)
             inside = use[lo:hi][docs]
@@ -98,7 +98,7 @@ def with_ends(types: np.ndarray, docs: np.ndarray, n_docs: int) -> tuple[np.ndar
     return np.insert(types, np.cumsum(counts), END), np.repeat(np.arange(n_docs), counts + 1)
 
 
-def type_bigrams(docs: DataFrame, top: np.ndarray) -> np.ndarray:
+def type_bigrams(docs: DataFrame, top: np.ndarray, fold: int = 1) -> np.ndarray:
     """Counts of type pairs in training texts; the type before a text is END."""
     shared = docs.sparkSession.sparkContext.broadcast(top)
 
@@ -114,7 +114,7 @@ def type_bigrams(docs: DataFrame, top: np.ndarray) -> np.ndarray:
             codes.clear()
 
         for batch in batches:
-            use = is_training(batch.column(0).to_pylist())
+            use = is_training(batch.column(0).to_pylist(), fold)
             for lo, hi, offsets, data in textkit.segments(batch.column(1)):
                 hashes, endings, at = tokens(offsets, data)
                 types, at = with_ends(type_ids(index, hashes, endings), at, hi - lo)
@@ -204,7 +204,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return member
 
 
-def context_counts(docs: DataFrame, top: np.ndarray, member: np.ndarray) -> DataFrame:
+def context_counts(docs: DataFrame, top: np.ndarray, member: np.ndarray, fold: int = 1) -> DataFrame:
     """(word, cell) of training words beyond the seeds: cell is 2 * CLASSES * count + context, and the context a class before, or CLASSES + a class after."""
     shared = docs.sparkSession.sparkContext.broadcast((top, member))
 
@@ -226,7 +226,7 @@ def context_counts(docs: DataFrame, top: np.ndarray, member: np.ndarray) -> Data
             return pa.RecordBatch.from_pydict({"word": w.view(np.int64), "cell": n * (2 * CLASSES) + c})
 
         for batch in batches:
-            use = is_training(batch.column(0).to_pylist())
+            use = is_training(batch.column(0).to_pylist(), fold)
             for lo, hi, offsets, data in textkit.segments(batch.column(1)):
                 hashes, endings, at = tokens(offsets, data)
                 ends = np.cumsum(np.bincount(at, minlength=hi - lo))
@@ -322,7 +322,7 @@ def resolve(batches):
         )
 
 
-def class_bigrams(texts: DataFrame) -> np.ndarray:
+def class_bigrams(texts: DataFrame, fold: int = 1) -> np.ndarray:
     """Counts of class pairs in training texts; the class before a text is the end's."""
 
     def count(batches):
@@ -331,7 +331,7 @@ def class_bigrams(texts: DataFrame) -> np.ndarray:
             if not len(batch):
                 continue
             codes, at = class_runs(batch, "classes")
-            use = is_training(batch.column("doc_id").to_pylist())
+            use = is_training(batch.column("doc_id").to_pylist(), fold)
             before = np.concatenate(([CLASSES - 1], codes[:-1]))
             total += np.bincount((before * CLASSES + codes)[use[at]], minlength=CLASSES * CLASSES)
         some = np.flatnonzero(total)
@@ -354,7 +354,7 @@ def class_model_scores(docs: DataFrame, fold: int = 1) -> DataFrame:
     spark = docs.sparkSession
     textkit.on_workers(spark)
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    counted = textkit.saved(docs.mapInArrow(training_words, "word long, ending int, n long").groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("n")))
+    counted = textkit.saved(docs.mapInArrow(lambda batches: training_words(batches, fold), "word long, ending int, n long").groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("n")))
     words = counted.where("ending >= 0")
     # the least count at which at most HEAD words are frequent: from a table of counts, not of words
     by_count = words.groupBy("n").agg(F.count("*").alias("m")).select("n", F.sum("m").over(Window.orderBy(F.desc("n"))).alias("upto"))
@@ -364,10 +364,10 @@ def class_model_scores(docs: DataFrame, fold: int = 1) -> DataFrame:
     head_hash, head_n = head["word"].to_numpy(np.int64).view(np.uint64), head["n"].to_numpy(np.int64)
     texts = counted.where("ending < 0").agg(F.sum("n")).first()[0] or 0
     tops = min(KINDS, len(head_hash))
-    pairs = type_bigrams(docs, head_hash[:tops])
+    pairs = type_bigrams(docs, head_hash[:tops], fold)
     member = exchange(pairs)
     hot = np.eye(CLASSES)[member]
-    assigned = textkit.saved(best_classes(context_counts(docs, head_hash[:tops], member), hot.T @ pairs @ hot))
+    assigned = textkit.saved(best_classes(context_counts(docs, head_hash[:tops], member, fold), hot.T @ pairs @ hot))
     # of each class: training tokens and words
     class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
     for c, n, v in assigned.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas().itertuples(index=False):  # CLASSES rows
@@ -425,7 +425,7 @@ def class_model_scores(docs: DataFrame, fold: int = 1) -> DataFrame:
     tail = assigned.where(F.col("n") < least) if least else assigned
     found = encoded.select("key", F.posexplode("rare").alias("j", "word")).join(tail, "word").groupBy("key").agg(F.collect_list(F.struct("j", "class", "n")).alias("found"))
     known = textkit.saved(encoded.drop("rare").join(found, "key", "left").mapInArrow(resolve, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, classes binary"))
-    table = class_bigrams(known)
+    table = class_bigrams(known, fold)
     step = np.log10((table + 0.5) / (table.sum(1, keepdims=True) + 0.5 * CLASSES)) - np.log10(class_n + 0.5 * (class_v + 1))
     base = np.log10(total + 0.5 * (distinct + 1))
 
