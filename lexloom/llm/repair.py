@@ -1,10 +1,10 @@
 """op4: token ids in Re-Pair compressed shards.
 
 Texts are encoded, range-partitioned by doc_id and written as blocks. A block
-holds its own grammar: in each round the frequent id pairs of the block are
-counted exactly, and all of them that a threshold admits are replaced by new
-nonterminals (overlapping occurrences: every other one, from the left). Pairs
-never contain the end id, so no rule crosses a document. Stored are the
+holds its own grammar: in each round the id pairs of the block are counted
+exactly, and the most frequent are replaced by new nonterminals (overlapping
+occurrences: every other one, from the left). Rounds go on until no pair occurs
+LEAST times. Pairs never contain the end id, so no rule crosses a document. Stored are the
 rules, the length of each expansion, the sequence, and for each document its
 place in the sequence and its token count, so one document can be decoded
 without the others.
@@ -28,7 +28,9 @@ from . import pretokens, textkit
 
 MAGIC = b"LXRP0001"
 BLOCK_IDS = 1 << 20
-ROUNDS = 3
+#: A pair met less often would cost more as a rule (three numbers) than it saves.
+LEAST = 4
+#: Rules made from one count of all pairs; the next round counts anew.
 RULES_A_ROUND = 2048
 MEMO = 1_500_000
 END = 0
@@ -102,25 +104,27 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def compress(ids: np.ndarray, terminals: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair of a sequence: (sequence, left, right, expansion length)."""
+def compress(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Re-Pair of a sequence: (sequence, left, right, expansion length); no pair without END occurs LEAST times in the result."""
     seq = ids.astype(np.uint32)
     left, right = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
     length = np.ones(terminals, np.uint32)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         a, b = seq[:-1], seq[1:]
+        inside = (a != END) & (b != END)
         bins = (a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)) >> np.uint32(12)
-        load = np.bincount(bins, minlength=1 << 20)
-        level = np.sort(load[load > 0])
-        least = max(4, int(level[max(0, len(level) - RULES_A_ROUND)])) if len(level) else 4
-        near = np.flatnonzero((load >= least)[bins] & (a != END) & (b != END))
-        if not len(near):
+        load = np.bincount(bins[inside], minlength=1 << 20)
+        level = np.sort(load[load >= LEAST])
+        if not len(level):
             break
-        pairs, inverse, count = np.unique(a[near].astype(np.uint64) << np.uint64(32) | b[near], return_inverse=True, return_counts=True)
-        rank = np.argsort(-count, kind="stable")[:RULES_A_ROUND]
-        rank = rank[count[rank] >= 4]
+        # exact counts of the fullest bins; if pairs that only share a bin fill them, of all bins that can hold a pair
+        for least in (int(level[max(0, len(level) - RULES_A_ROUND)]), LEAST):
+            near = np.flatnonzero((load >= least)[bins] & inside)
+            pairs, inverse, count = np.unique(a[near].astype(np.uint64) << np.uint64(32) | b[near], return_inverse=True, return_counts=True)
+            rank = np.argsort(-count, kind="stable")[:RULES_A_ROUND]
+            rank = rank[count[rank] >= LEAST]
+            if len(rank):
+                break
         if not len(rank):
             break
         rule = np.full(len(pairs), -1, np.int64)
@@ -214,7 +218,7 @@ def write_blocks(docs: DataFrame, tokenizer: str, path: str | None = None) -> Da
 
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi, offsets, data in textkit.segments(batch.column(1), 1 << 21):
+            for lo, hi, offsets, data in textkit.segments(batch.column(1)):
                 ids, n = coder.encode(offsets, data)
                 ids = np.insert(ids, np.cumsum(n), END).astype(np.uint32)
                 held.append((keys[lo:hi], n + 1, ids))

@@ -1,5 +1,6 @@
 """op4, op7 and op8 against the libraries and against brute force."""
 
+import collections
 import random
 import zlib
 
@@ -77,6 +78,22 @@ def test_blocks_round_trip_and_decode_one_document():
         repair.Block(b"something else" * 9)
 
 
+@pytest.mark.parametrize("rules", [2048, 3])
+def test_grammars_end_where_no_pair_is_worth_a_rule(monkeypatch, rules):
+    monkeypatch.setattr(repair, "RULES_A_ROUND", rules)
+    r = np.random.default_rng(4)
+    passage = r.integers(1, 50, 300)
+    ids = np.concatenate([np.concatenate([r.integers(1, 50, r.integers(0, 60)), passage, [0]]) for _ in range(30)] + [np.full(5000, 9), [0], r.integers(1, 4, 800)]).astype(np.uint32)
+    seq, left, right, length = repair.compress(ids, 100)
+    pairs = collections.Counter((a, b) for a, b in zip(seq[:-1].tolist(), seq[1:].tolist()) if a and b)
+    assert max(pairs.values(), default=0) < repair.LEAST
+    size = [1] * 100 + length.tolist()
+    assert all(size[100 + k] == size[x] + size[y] and max(x, y) < 100 + k for k, (x, y) in enumerate(zip(left.tolist(), right.tolist())))
+    assert length.max() > 100 and sum(size[x] for x in seq.tolist()) == len(ids)
+    block = repair.Block(repair.pack(np.arange(1), np.array([len(ids)]), ids, 100))
+    assert (block.all() == ids).all()
+
+
 def test_op4(docs, none, known, library):
     got = sorted(map(tuple, repair.token_files(docs, PATH).collect()), key=lambda r: r[1])
     start, want = 0, []
