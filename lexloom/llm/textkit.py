@@ -130,12 +130,20 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 
 #: Workers outlive their tasks: with these, large arrays go back to the system when they are freed.
 MEMORY = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
 #: Most bytes of a table that is broadcast.
 BROADCAST = 24 << 20
 
 
 def on_workers(spark) -> None:
-    """Let Python workers that start from now on import this package and give freed memory back."""
+    """Let Python workers that start from now on import this package and give freed memory back; the session hands them BATCH_ROWS rows at a time.
+
+    Spark's own default counts rows, 10,000 of them, however long the texts
+    are; a session that has another setting keeps it.
+    """
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     paths = [p for p in [*env.get("PYTHONPATH", "").split(os.pathsep), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p]
