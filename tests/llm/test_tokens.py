@@ -81,6 +81,7 @@ def test_blocks_round_trip_and_decode_one_document():
 @pytest.mark.parametrize("rules", [2048, 3])
 def test_grammars_end_where_no_pair_is_worth_a_rule(monkeypatch, rules):
     monkeypatch.setattr(repair, "RULES_A_ROUND", rules)
+    monkeypatch.setattr(repair, "GAIN", 0)
     r = np.random.default_rng(4)
     passage = r.integers(1, 50, 300)
     ids = np.concatenate([np.concatenate([r.integers(1, 50, r.integers(0, 60)), passage, [0]]) for _ in range(30)] + [np.full(5000, 9), [0], r.integers(1, 4, 800)]).astype(np.uint32)
