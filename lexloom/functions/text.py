@@ -23,15 +23,48 @@ GENERIC_WORDS = (
 CAPTION = "^\\s*(?:表|図|式|付表|付図|第\\s*[0-9０-９]+\\s*[章節項表図])"
 JAPANESE = "[\u4e00-\u9fffぁ-ヶ゠-ヿ]"
 KANJI_KANA = "[\u4e00-\u9fffぁ-ヿ]"
+#: What counts as a blank: JavaScript's white space, ideographic and no-break blanks included. The inside of a character class, for Java and RE2.
+BLANKS = "\\s\\x0b\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 # --- end of fixed values ---
 
 
+def wide(pattern: str) -> str:
+    """A pattern whose \\s and \\S mean all of BLANKS; Java's and RE2's own are ASCII blanks alone."""
+    out, inside, k = [], False, 0
+    while k < len(pattern):
+        two = pattern[k : k + 2]
+        if two == "\\s":
+            out.append(BLANKS if inside else f"[{BLANKS}]")
+        elif two == "\\S" and not inside:
+            out.append(f"[^{BLANKS}]")
+        elif two[0] == "\\":
+            out.append(two)
+        else:
+            inside = two[0] == "[" or inside and two[0] != "]"
+            out.append(two[0])
+            k -= 1
+        k += 2
+    return "".join(out)
+
+
+def sub(text: Column, pattern: str, new: str) -> Column:
+    return F.regexp_replace(text, wide(pattern), new)
+
+
+def has(text: Column, pattern: str) -> Column:
+    return text.rlike(wide(pattern))
+
+
+def strip(text: Column) -> Column:
+    return sub(text, "^\\s+|\\s+$", "")
+
+
 def _all(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(wide(pattern)), F.lit(0))
 
 
 def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
+    return F.regexp_count(text, F.lit(wide(pattern)))
 
 
 def bind(value: Column, body) -> Column:
@@ -63,10 +96,10 @@ def detokenize(tokens: Column) -> Column:
     out = F.aggregate(
         tokens,
         F.struct(F.lit("").alias("text"), F.lit(False).alias("latin")),
-        lambda acc, t: F.struct(F.concat(acc["text"], F.when(acc["latin"] & t.rlike(latin), F.lit(" ")).otherwise(F.lit("")), t).alias("text"), t.rlike(latin).alias("latin")),
+        lambda acc, t: F.struct(F.concat(acc["text"], F.when(acc["latin"] & has(t, latin), F.lit(" ")).otherwise(F.lit("")), t).alias("text"), has(t, latin).alias("latin")),
         lambda acc: acc["text"],
     )
-    return F.regexp_replace(out, "^\\s+|\\s+$", "")
+    return sub(out, "^\\s+|\\s+$", "")
 
 
 def space_tokens(text: Column) -> Column:
@@ -87,7 +120,7 @@ def token_ids(tokens: Column) -> Column:
 
 
 def _split_sentences(text: Column) -> Column:
-    flat = F.trim(F.regexp_replace(text, "\\s+", " "))
+    flat = F.trim(sub(text, "\\s+", " "))
     return F.transform(F.split(flat, f"(?<=[{ENDERS}])|(?<=\\.)(?=\\s|$)"), lambda x: F.trim(x))
 
 
@@ -96,11 +129,11 @@ def sentences(text: Column) -> Column:
 
 
 def clean_sentences(text: Column) -> Column:
-    return F.filter(_split_sentences(text), lambda s: F.length(F.regexp_replace(s, "[\\s、,]", "")) >= 8)
+    return F.filter(_split_sentences(text), lambda s: F.length(sub(s, "[\\s、,]", "")) >= 8)
 
 
 def feedback_sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, f"(?<=[{ENDERS}])"), lambda s: F.regexp_replace(s, "^\\s+|\\s+$", "")), lambda s: F.length(s) >= 6)
+    return F.filter(F.transform(F.split(text, f"(?<=[{ENDERS}])"), lambda s: sub(s, "^\\s+|\\s+$", "")), lambda s: F.length(s) >= 6)
 
 
 def key_terms(text: Column) -> Column:
@@ -109,58 +142,60 @@ def key_terms(text: Column) -> Column:
 
 
 def signature(text: Column) -> Column:
-    return bind(key_terms(text), lambda k: F.lower(F.when(F.size(k) > 0, F.array_join(F.array_sort(k), "|")).otherwise(F.regexp_replace(F.coalesce(text, F.lit("")), "\\s+", ""))))
+    return bind(key_terms(text), lambda k: F.lower(F.when(F.size(k) > 0, F.array_join(F.array_sort(k), "|")).otherwise(sub(F.coalesce(text, F.lit("")), "\\s+", ""))))
 
 
 # --- cleaners ---
 
 
 def strip_garbage(text: Column, replacement_too: bool = False) -> Column:
-    return F.regexp_replace(text, GARBAGE_WITH_REPLACEMENT if replacement_too else GARBAGE, "")
+    return sub(text, GARBAGE_WITH_REPLACEMENT if replacement_too else GARBAGE, "")
 
 
 def clean_inline(text: Column) -> Column:
     """Strip mojibake and citation markers, collapse blanks, trim."""
-    marks = F.regexp_replace(strip_garbage(text, True), "[⁻₋][⁰¹²³⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉]+[·・]", "")
-    return F.regexp_replace(F.regexp_replace(marks, "[ \\t]{2,}", " "), "^\\s+|\\s+$", "")
+    marks = sub(strip_garbage(text, True), "[⁻₋][⁰¹²³⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉]+[·・]", "")
+    return sub(sub(marks, "[ \\t]{2,}", " "), "^\\s+|\\s+$", "")
 
 
 def formula_signal(text: Column) -> Column:
-    greek = text.rlike("[α-ωΑ-Ω∀-⋿]") | text.rlike("[\\x{1d400}-\\x{1d7ff}]")
-    sign = text.rlike("[=<>≤≥≈≅≡∝∫∮∑∏√∂∇±×÷→←↔∈]")
-    return F.when(text == "", False).when(greek | sign, True).when(text.rlike("^[A-Za-z]+[)\\].,]*$"), False).otherwise(text.rlike("[A-Za-z]"))
+    # fixed values: the glyphs that tell a formula
+    greek = has(text, "[α-ωΑ-Ω∀-⋿]") | has(text, "[\\x{1d400}-\\x{1d7ff}]")
+    sign = has(text, "[=<>≤≥≈≅≡∝∫∮∑∏√∂∇±×÷→←↔∈]")
+    return F.when(text == "", False).when(greek | sign, True).when(has(text, "^[A-Za-z]+[)\\].,]*$"), False).otherwise(has(text, "[A-Za-z]"))
 
 
 def restore_punctuation(text: Column) -> Column:
-    stop = F.regexp_replace(text, f"(?<=[{CJK_SET}{CLOSE}])\\.", "。")
-    comma = F.regexp_replace(stop, f"(?<=[{CJK_SET}{CLOSE}]),", "、")
-    return F.regexp_replace(comma, f",(?=[{CJK_SET}{OPEN}])", "、")
+    stop = sub(text, f"(?<=[{CJK_SET}{CLOSE}])\\.", "。")
+    comma = sub(stop, f"(?<=[{CJK_SET}{CLOSE}]),", "、")
+    return sub(comma, f",(?=[{CJK_SET}{OPEN}])", "、")
 
 
 def restore_punctuation_before_gap(text: Column) -> Column:
+    # fixed values: the characters that Japanese punctuation follows
     before = "(?<=[ぁ-んァ-ヶ\u4e00-\u9fff々ー）)」』])"
-    stop = F.regexp_replace(text, f"(?m){before}\\.(?=$|[^0-9A-Za-z])", "。")
-    return F.regexp_replace(stop, f"(?m){before},(?=$|[^0-9A-Za-z])", "、")
+    stop = sub(text, f"(?m){before}\\.(?=$|[^0-9A-Za-z])", "。")
+    return sub(stop, f"(?m){before},(?=$|[^0-9A-Za-z])", "、")
 
 
 def fill_clean(text: Column) -> Column:
-    out = restore_punctuation_before_gap(F.regexp_replace(text, "[\ue000-\uf8ff\uac00-\ud7a3\u1100-\u11ff\ufffd]", ""))
-    for pattern, new in (
+    out = restore_punctuation_before_gap(sub(text, "[\ue000-\uf8ff\uac00-\ud7a3\u1100-\u11ff\ufffd]", ""))
+    for pattern, new in (  # fixed values: the patterns and their order
         ("[（(]\\s*[)）]", ""), ("「\\s*」|『\\s*』", ""), ("[ \\t　]{2,}", " "), ("，{2,}", "，"), ("、{2,}", "、"), ("。{2,}", "。"), ("．{2,}", "．"),
         ("\\s+([，。、．）)」』])", "$1"), ("(?m)[ \\t]+$", ""), ("^\\s+|\\s+$", ""),
     ):
-        out = F.regexp_replace(out, pattern, new)
+        out = sub(out, pattern, new)
     return out
 
 
 def tidy(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[、，][、，]+", "、"), ",{2,}", ","), "^[、，。\\s]+", "")
+    return sub(sub(sub(text, "[、，][、，]+", "、"), ",{2,}", ","), "^[、，。\\s]+", "")
 
 
 def clean_line(line: Column) -> Column:
     out = line
     for pattern in ("^[ \\t]*#{1,6}[ \\t]+", "^[ \\t]*>[ \\t]?", "[*_`]+", "^\\s+|\\s+$"):
-        out = F.regexp_replace(out, pattern, "")
+        out = sub(out, pattern, "")
     return out
 
 
@@ -180,19 +215,19 @@ def sanitize(sentence: Column) -> Column:
         ("\\s+([、。，．）)」』])", "$1"),
         ("^\\s+|\\s+$", ""),
     ):
-        out = F.regexp_replace(out, pattern, new)
+        out = sub(out, pattern, new)
     return out
 
 
 def normalize_title(title: Column) -> Column:
     out = F.coalesce(title, F.lit(""))
     for pattern in ("^[\\d０-９]+([・.·][\\d０-９]+)*\\s*", "[（(][^）)]*[）)]", "\\s+"):
-        out = F.regexp_replace(out, pattern, "")
+        out = sub(out, pattern, "")
     return out
 
 
 def heading_key(line: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(line, "^#\\s*", ""), "\\s+", "")
+    return sub(sub(line, "^#\\s*", ""), "\\s+", "")
 
 
 # --- predicates ---
@@ -209,15 +244,15 @@ def unbalanced(text: Column) -> Column:
 def junk_sentence(s: Column) -> Column:
     """Whether a sentence breaks one of thirteen rules of well-formed prose."""
     return (  # fixed values: the rules' patterns and limits
-        ~s.rlike(f"[{ENDERS}]")
-        | (F.length(F.regexp_replace(s, "[\\s、，]", "")) < 14)
-        | s.rlike("^[をはがのにへともでやゝ々、，。・ー）)】」』＞ァィゥェォッャュョヮぁぃぅぇぉっゃゅょゎｧｨｩｪｫｬｭｮｯ]")
-        | s.rlike(CAPTION)
-        | s.rlike("^\\s*(?:[（(]?\\s*[0-9０-９a-zａ-ｚ]+\\s*[)）.．、]|[①-⑳]|[・･\\-*▪◦])")
+        ~has(s, f"[{ENDERS}]")
+        | (F.length(sub(s, "[\\s、，]", "")) < 14)
+        | has(s, "^[をはがのにへともでやゝ々、，。・ー）)】」』＞ァィゥェォッャュョヮぁぃぅぇぉっゃゅょゎｧｨｩｪｫｬｭｮｯ]")
+        | has(s, CAPTION)
+        | has(s, "^\\s*(?:[（(]?\\s*[0-9０-９a-zａ-ｚ]+\\s*[)）.．、]|[①-⑳]|[・･\\-*▪◦])")
         | (_count(s, "：") >= 2)
-        | s.rlike("[＝∫∑Σ∏Γ∇√]")
-        | s.rlike("[（(]\\s*[0-9０-９]{1,2}\\s*[）)]\\s*\\S")
-        | s.rlike("[βα]\\s*\\d|－\\s*\\d{2,}|\\d+\\s*編(?=[0-9A-Za-z_])")
+        | has(s, "[＝∫∑Σ∏Γ∇√]")
+        | has(s, "[（(]\\s*[0-9０-９]{1,2}\\s*[）)]\\s*\\S")
+        | has(s, "[βα]\\s*\\d|－\\s*\\d{2,}|\\d+\\s*編(?=[0-9A-Za-z_])")
         | (_count(s, "[、，][ 　\\t]") >= 2)
         | (_count(s, f"{KANJI_KANA}[ 　\\t]{KANJI_KANA}") >= 2)
         | unbalanced(s)
@@ -226,11 +261,12 @@ def junk_sentence(s: Column) -> Column:
 
 
 def heading_line(line: Column) -> Column:
-    return ~line.rlike(f"[{ENDERS}]") & ((F.length(line) <= 9) | line.rlike(CAPTION) | line.rlike("^[0-9０-９]+[.．・]"))
+    # fixed values: limits and marks of headings and of mathematics
+    return ~has(line, f"[{ENDERS}]") & ((F.length(line) <= 9) | has(line, CAPTION) | has(line, "^[0-9０-９]+[.．・]"))
 
 
 def math_line(line: Column) -> Column:
-    return (_count(line, KANJI_KANA) < F.length(line) * 0.35) & line.rlike("[=＝＋×÷∫∑√σεγτθλμνπρω()（）0-9]")
+    return (_count(line, KANJI_KANA) < F.length(line) * 0.35) & has(line, "[=＝＋×÷∫∑√σεγτθλμνπρω()（）0-9]")
 
 
 # --- web and routes ---
@@ -238,16 +274,16 @@ def math_line(line: Column) -> Column:
 
 def wants_web(query: Column) -> Column:
     q = F.coalesce(query, F.lit(""))
-    return (
-        q.rlike("(?iu)(web|ウェブ|wikipedia|ウィキペディア|ウィキ|ネット|ねっと|オンライン)\\s*(で|に|から)")
-        | q.rlike("(ググ|ぐぐ)(って|っで|り|る|れ|ろ)")
-        | q.rlike("(検索|サーチ)\\s*(して|し直して|してください|して下さい)")
-        | q.rlike("(?i)(web|ネット)\\s*検索")
+    return (  # fixed values: directive phrases
+        has(q, "(?iu)(web|ウェブ|wikipedia|ウィキペディア|ウィキ|ネット|ねっと|オンライン)\\s*(で|に|から)")
+        | has(q, "(ググ|ぐぐ)(って|っで|り|る|れ|ろ)")
+        | has(q, "(検索|サーチ)\\s*(して|し直して|してください|して下さい)")
+        | has(q, "(?i)(web|ネット)\\s*検索")
     )
 
 
 def web_term(query: Column) -> Column:
-    q = F.regexp_replace(F.coalesce(query, F.lit("")), "^\\s+|\\s+$", "")
+    q = sub(F.coalesce(query, F.lit("")), "^\\s+|\\s+$", "")
     for pattern in (  # fixed values: directive phrases, in order
         "(?iu)(web|ウェブ|wikipedia|ウィキペディア|ウィキ|ネット|ねっと|オンライン)\\s*(で|に|から|を)?",
         "(ググ|ぐぐ)(って|っで|り|る|れ|ろ)",
@@ -259,7 +295,7 @@ def web_term(query: Column) -> Column:
         "[?？]+$",
         "^\\s+|\\s+$",
     ):
-        q = F.regexp_replace(q, pattern, "")
+        q = sub(q, pattern, "")
     return q
 
 

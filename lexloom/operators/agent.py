@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 # --- fixed values: trigger words, step texts and messages ---
 TRIGGERS = {
     "test": ("テスト", "test", "spec", "ci", "通す", "green"),
@@ -60,7 +62,7 @@ def plan(goal: Column) -> Column:
 
 
 def short_goal(goal: Column) -> Column:
-    g = F.trim(F.regexp_replace(F.when(F.coalesce(goal, F.lit("")) == "", "タスク").otherwise(goal), "\\s+", " "))
+    g = F.trim(T.sub(F.when(F.coalesce(goal, F.lit("")) == "", "タスク").otherwise(goal), "\\s+", " "))
     return F.when(F.length(g) > 24, F.concat(F.substring(g, 1, 24), F.lit("…"))).otherwise(g)
 
 

@@ -9,9 +9,9 @@ from ..functions import text as T
 
 # --- fixed values ---
 DROP_RATIO, DROP_COUNT = 0.08, 5
-VOLUME, CHAPTER, FORMULA = "^#\\s+(\\S+編)\\s*$", "^##\\s+(.+?)(?:\\.pdf)?\\s*$", "^-\\s+`(.*)`\\s*$"
-SECTION = "^([0-9０-９]+(?:・[0-9０-９]+){2})\\s+(.+)$"
-STOP = "^(第[0-9０-９]+章|[0-9０-９]+・[0-9０-９]+\\s+\\S|[0-9０-９]+(?:・[0-9０-９]+){2}\\s+\\S|天アキ|\\d+mm)"
+VOLUME, CHAPTER, FORMULA = map(T.wide, ("^#\\s+(\\S+編)\\s*$", "^##\\s+(.+?)(?:\\.pdf)?\\s*$", "^-\\s+`(.*)`\\s*$"))
+SECTION = T.wide("^([0-9０-９]+(?:・[0-9０-９]+){2})\\s+(.+)$")
+STOP = T.wide("^(第[0-9０-９]+章|[0-9０-９]+・[0-9０-９]+\\s+\\S|[0-9０-９]+(?:・[0-9０-９]+){2}\\s+\\S|天アキ|\\d+mm)")
 BUFFER = 180
 
 
@@ -24,20 +24,20 @@ def derubble(body: Column) -> Column:
 
 def clean_file(text: Column) -> Column:
     """Headings and breadcrumbs lose characters only; other lines are de-rubbled; blank lines stay."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.when(x.rlike("^\\s*[#>]"), T.strip_garbage(x)).when(F.trim(x) == "", x).otherwise(derubble(x)))
+    lines = F.transform(F.split(text, "\n"), lambda x: F.when(T.has(x, "^\\s*[#>]"), T.strip_garbage(x)).when(T.strip(x) == "", x).otherwise(derubble(x)))
     return F.array_join(lines, "\n")
 
 
 def title(text: Column) -> Column:
-    return F.trim(F.regexp_extract(text, "(?m)^\\s*#\\s+(.+)\\s*$", 1))
+    return T.strip(F.regexp_extract(text, T.wide("(?m)^\\s*#\\s+(.+)\\s*$"), 1))
 
 
 def front_matter(docs: DataFrame) -> DataFrame:
     """(doc_id, title_line, crumbs, body): the first heading, the breadcrumb lines, and the cleaned body lines."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    heads = F.transform(F.filter(lines, lambda x: x.rlike("^\\s*#")), lambda x: F.rtrim(x))
-    crumbs = F.transform(F.filter(lines, lambda x: x.rlike("^\\s*>")), lambda x: F.rtrim(x))
-    body = F.filter(F.transform(F.filter(lines, lambda x: ~x.rlike("^\\s*[#>]")), T.clean_line), lambda x: x != "")
+    heads = F.transform(F.filter(lines, lambda x: T.has(x, "^\\s*#")), lambda x: T.sub(x, "\\s+$", ""))
+    crumbs = F.transform(F.filter(lines, lambda x: T.has(x, "^\\s*>")), lambda x: T.sub(x, "\\s+$", ""))
+    body = F.filter(F.transform(F.filter(lines, lambda x: ~T.has(x, "^\\s*[#>]")), T.clean_line), lambda x: x != "")
     return docs.select("doc_id", F.coalesce(F.get(heads, F.lit(0)), F.lit("")).alias("title_line"), crumbs.alias("crumbs"), body.alias("body"))
 
 
@@ -58,7 +58,7 @@ def parse_chapters(dumps: DataFrame) -> DataFrame:
     raw = F.regexp_extract("line", FORMULA, 1)
     clean = T.clean_inline(F.when(F.col("line").rlike(FORMULA), raw).otherwise(F.col("line")))
     kind = (
-        F.when(F.col("is_volume"), None).when(F.col("is_chapter"), "head").when(F.col("line").rlike(FORMULA), "formula").when(F.ltrim("line").startswith("|"), "table").when((F.trim("line") != "") & (F.trim("line") != "---"), "prose")
+        F.when(F.col("is_volume"), None).when(F.col("is_chapter"), "head").when(F.col("line").rlike(FORMULA), "formula").when(T.has(F.col("line"), "^\\s*\\|"), "table").when((T.strip(F.col("line")) != "") & (T.strip(F.col("line")) != "---"), "prose")
     )
     rows = marked.select("dump_id", "chapter_no", "pos", "volume", "name", kind.alias("kind"), clean.alias("clean"), raw.alias("raw")).where("kind is not null")
     signal = T.formula_signal(F.col("clean"))
@@ -90,17 +90,17 @@ def render_chapter() -> Column:
         part(F.size("formulas") > 0, F.lit("## 計算式\n\n"), F.array_join(F.transform("formulas", lambda f: F.concat(F.lit("- `"), f, F.lit("`"))), "\n"), F.lit("\n\n")),
         part(F.size("tables") > 0, F.lit("## 表\n\n"), F.array_join("tables", "\n"), F.lit("\n\n")),
     )
-    return F.concat(F.regexp_replace(body, "\\s+$", ""), F.lit("\n"))
+    return F.concat(T.sub(body, "\\s+$", ""), F.lit("\n"))
 
 
 def text_sections(files: DataFrame) -> DataFrame:
     """(file_id, pos, key, body): from each three-part heading to the next line that stops a section; files: file_id, text."""
     lines = files.select("file_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    bare = F.trim("line")
+    bare = T.strip(F.col("line"))
     order = Window.partitionBy("file_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     marked = lines.select("*", bare.rlike(SECTION).alias("head"), bare.rlike(STOP).alias("stop")).withColumn("part", F.sum(F.col("stop").cast("int")).over(order))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("stop"), F.struct("pos", "line")))), lambda x: x["line"]), "\n")
-    return marked.groupBy("file_id", "part").agg(F.max(F.when(F.col("head"), F.struct("pos", F.trim("line").alias("line")))).alias("h"), body.alias("body")).where("h is not null").select("file_id", F.col("h.pos").alias("pos"), T.heading_key(F.col("h.line")).alias("key"), "body")
+    return marked.groupBy("file_id", "part").agg(F.max(F.when(F.col("head"), F.struct("pos", T.strip(F.col("line")).alias("line")))).alias("h"), body.alias("body")).where("h is not null").select("file_id", F.col("h.pos").alias("pos"), T.heading_key(F.col("h.line")).alias("key"), "body")
 
 
 def fill_by_unique_key(docs: DataFrame, sections: DataFrame, least: int = 20) -> DataFrame:

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 
+#: Most queries of one search by brute force.
+QUERIES = 100_000
+
 
 def features(text: Column) -> Column:
     """Lower-case tokens and their neighbours joined by `_`."""
@@ -18,23 +21,29 @@ def features(text: Column) -> Column:
     return T.bind(tokens, lambda t: F.concat(t, F.when(F.size(t) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.size(t) - 2), lambda i: F.concat(F.get(t, i), F.lit("_"), F.get(t, i + 1))))))
 
 
-def hashed_cells(docs: DataFrame, dim: int = 64) -> DataFrame:
-    """(doc_id, cell, v): signed counts of features by hash; distinct features are hashed once for a text."""
-    counted = docs.select("doc_id", F.explode(features(F.coalesce("text", F.lit("")))).alias("f")).groupBy("doc_id", "f").agg(F.count("*").alias("m")).withColumn("h", T.fnv1a(F.col("f")))
-    sign = F.when(F.shiftright("h", 16).bitwiseAND(F.lit(1)) == 1, F.col("m")).otherwise(-F.col("m"))
-    return counted.groupBy("doc_id", F.pmod("h", F.lit(dim)).cast("int").alias("cell")).agg(F.sum(sign).alias("v"))
-
-
 def embeddings(docs: DataFrame, dim: int = 64) -> DataFrame:
-    """(doc_id, embedding): L2-normalised; a text without tokens has zeros."""
-    cells = hashed_cells(docs, dim).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("cell", F.col("v").cast("double")))).alias("m"), F.sqrt(F.sum(F.col("v").cast("double") * F.col("v"))).alias("n"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.coalesce(F.try_element_at("m", k) / F.when(F.col("n") == 0, 1.0).otherwise(F.col("n")), F.lit(0.0)))
-    zeros = F.array_repeat(F.lit(0.0), dim)
-    return docs.select("doc_id").join(cells, "doc_id", "left").select("doc_id", F.when(F.col("m").isNull(), zeros).otherwise(dense).alias("embedding"))
+    """(doc_id, embedding): signed counts of features by hash, L2-normalised; a text without tokens has zeros.
+
+    The cells of a text are summed where its features are made, so one row
+    for each text is shuffled.
+    """
+    rows = docs.select("doc_id", F.explode_outer(features(F.coalesce("text", F.lit("")))).alias("f")).select("doc_id", T.fnv1a(F.col("f")).alias("h"))
+    cell = F.pmod("h", F.lit(dim))
+    sign = F.when(F.shiftright("h", 16).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1)
+    sums = rows.select("doc_id", cell.alias("cell"), sign.alias("sign")).groupBy("doc_id").agg(*(F.sum(F.when(F.col("cell") == k, F.col("sign"))).alias(f"c{k}") for k in range(dim)))
+    values = F.array(*(F.coalesce(F.col(f"c{k}"), F.lit(0)).cast("double") for k in range(dim)))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    return sums.select("doc_id", values.alias("v")).select("doc_id", "v", F.when(norm == 0, 1.0).otherwise(norm).alias("n")).select("doc_id", F.transform("v", lambda x: x / F.col("n")).alias("embedding"))
 
 
 def nearest(queries: DataFrame, items: DataFrame, k: int = 5, min_cos: float | None = None) -> DataFrame:
-    """(qid, item_id, cos, rank) by brute force over all items for a broadcast set of queries; rows: qid, v and item_id, v."""
+    """(qid, item_id, cos, rank) by brute force over all items; rows: qid, v and item_id, v.
+
+    Queries are a stated set of QUERIES at most, so they are broadcast in
+    blocks of vectors; each item meets them in one pass.
+    """
+    if queries.count() > QUERIES:
+        raise ValueError(f"{QUERIES} queries at a time at most")
     q = queries.select("qid", F.col("v").alias("qv"))
     scored = items.select("item_id", "v").crossJoin(F.broadcast(q)).select("qid", "item_id", F.round(V.cosine(F.col("qv"), F.col("v")), 9).alias("cos"))
     if min_cos is not None:
@@ -96,4 +105,4 @@ def scatter_scaled(points: DataFrame, key: str = "vec_id") -> DataFrame:
 
 def colour_class(text: Column) -> Column:
     """0 to 5 by the hash of the first word."""
-    return F.pmod(T.fnv1a(F.coalesce(F.regexp_extract(text, "\\S+", 0), F.lit(""))), F.lit(6)).cast("int")
+    return F.pmod(T.fnv1a(F.coalesce(F.regexp_extract(text, T.wide("\\S+"), 0), F.lit(""))), F.lit(6)).cast("int")

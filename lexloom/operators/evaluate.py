@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 # --- fixed values: patterns and constants of verdicts and estimates ---
-DEICTIC = "^(?:これ|それ|その|この|あの|同じ|当該|前者|後者|上記|下記|前述|また[、，]|なお[、，]|一方[、，]|さらに|すなわち|σ|τ|式\\(|図[0-9０-９]|表[0-9０-９])"
 DEICTIC_SHORT = "^(?:これ|それ|その|この|あの|同じ|当該|前者|後者|上記|下記|前述|また[、，]|なお[、，]|一方[、，]|σ|τ|式\\(|図[0-9０-９]|表[0-9０-９])"
+DEICTIC = DEICTIC_SHORT.replace("|σ", "|さらに|すなわち|σ")
+LEAST_CHARS, LEAST_JAPANESE, HEAD_CHARS, TAIL_CHARS = 20, 0.5, 30, 12
 FINAL = "(。|である|です。|だ。|をいう|た。|る。)"
 TARGETS = {"Agent": 0.78, "Prompt": 0.85, "Tool": 0.81}
 HALLMARKS = {
@@ -66,16 +67,16 @@ def readability(text: Column) -> Column:
     """The first reason why an answer doesn't read well, or ok."""
     t = F.coalesce(text, F.lit(""))
     return (
-        F.when(t == "", "empty").when(F.length(F.regexp_replace(t, "[\\s①-⑳]", "")) < 20, "short").when(t.rlike(DEICTIC), "deictic").when(T.japanese_ratio(t) < 0.5, "low_jp")
-        .when(T.unbalanced(t), "parens").when(F.substring(t, 1, 30).rlike("[＝∫∑Σ∏√]"), "math").when(~F.right(t, F.lit(12)).rlike(FINAL), "nonfinal").otherwise("ok")
+        F.when(t == "", "empty").when(F.length(T.sub(t, "[\\s①-⑳]", "")) < LEAST_CHARS, "short").when(t.rlike(DEICTIC), "deictic").when(T.japanese_ratio(t) < LEAST_JAPANESE, "low_jp")
+        .when(T.unbalanced(t), "parens").when(F.substring(t, 1, HEAD_CHARS).rlike("[＝∫∑Σ∏√]"), "math").when(~F.right(t, F.lit(TAIL_CHARS)).rlike(FINAL), "nonfinal").otherwise("ok")
     )
 
 
 def long_tail_readability(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     return (
-        F.when(t == "", "empty").when(F.length(F.regexp_replace(t, "[\\s①-⑳]", "")) < 20, "short").when(t.rlike(DEICTIC_SHORT), "deictic").when(T.japanese_ratio(t) < 0.5, "low_jp")
-        .when(T.unbalanced(t), "parens").when(~F.trim(t).rlike("[。．！？]\\s*$"), "nonfinal").otherwise("ok")
+        F.when(t == "", "empty").when(F.length(T.sub(t, "[\\s①-⑳]", "")) < LEAST_CHARS, "short").when(t.rlike(DEICTIC_SHORT), "deictic").when(T.japanese_ratio(t) < LEAST_JAPANESE, "low_jp")
+        .when(T.unbalanced(t), "parens").when(~T.strip(t).rlike("[。．！？]$"), "nonfinal").otherwise("ok")
     )
 
 
@@ -104,6 +105,6 @@ def answer_score(answered: Column, on_topic: Column, clean: Column, intent_fit:
 def list_fragments(answer: Column) -> Column:
     """(items, fragments) of a list answer: items that begin like the tail of a word."""
     body = F.regexp_replace(F.coalesce(answer, F.lit("")), "^[^：:]*[：:]", "")
-    items = F.filter(F.transform(F.split(body, "[・、，]"), lambda x: F.trim(x)), lambda x: x != "")
+    items = F.filter(F.transform(F.split(body, "[・、，]"), lambda x: T.strip(x)), lambda x: x != "")
     bad = F.filter(items, lambda x: x.rlike("^[ぁ-ん]{1,2}[ァ-ヶ]{2,}") | x.rlike("^[ァィゥェォッャュョヮぁぃぅぇぉっゃゅょゎ]"))
     return F.struct(F.size(items).alias("items"), F.size(bad).alias("fragments"))

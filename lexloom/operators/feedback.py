@@ -16,6 +16,9 @@ from ..functions import text as T
 MAX_TERM, BASE_TERM, REWARD, DECAY = 3.0, 1.0, 0.5, 0.5
 MAX_ACCEPTED, MAX_REJECTED, MAX_EVENTS, MAX_BLOCKED = 200, 200, 500, 50
 RECALL_MIN_COS = 0.9
+# --- end of fixed values ---
+#: Events of a span of time that a term's steps are composed in.
+SPAN = 50_000
 
 
 def latest(rows: DataFrame, n: int, order: str = "ts") -> DataFrame:
@@ -26,17 +29,36 @@ def event_log(events: DataFrame) -> DataFrame:
     return latest(events.select("ts", "q", "label"), MAX_EVENTS)
 
 
-def clamped_fold(changes):
-    """Fold of ordered changes: 1 at first, never below 1 or above 3."""
-    return F.aggregate(changes, F.lit(BASE_TERM), lambda w, d: F.greatest(F.lit(BASE_TERM), F.least(F.lit(MAX_TERM), w + d)))
+def _clamp(x, low, high):
+    return F.greatest(low, F.least(high, x))
 
 
-def term_weights(events: DataFrame, text: str = "q") -> DataFrame:
-    """(term, w): a good grade rewards the distinct terms of the question, a bad one takes as much away."""
-    change = F.when(F.col("label") == "good", F.lit(REWARD)).otherwise(F.lit(-DECAY))
-    rows = events.select("ts", change.alias("d"), F.explode(F.array_distinct(T.terms(F.coalesce(text, F.lit(""))))).alias("term"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ts", "d"))), lambda x: x["d"])
-    return rows.groupBy("term").agg(clamped_fold(ordered).alias("w"))
+def clamped_fold(steps):
+    """An ordered array of steps (add, low, high), each a function w -> max(low, min(high, w + add)), as one step of the same kind."""
+    none = F.struct(F.lit(0.0).alias("add"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
+    return F.aggregate(steps, none, lambda f, g: F.struct((f["add"] + g["add"]).alias("add"), _clamp(f["low"] + g["add"], g["low"], g["high"]).alias("low"), _clamp(f["high"] + g["add"], g["low"], g["high"]).alias("high")))
+
+
+def in_order(key: str, *fields: str):
+    """The structs of a group, sorted by a key, without it."""
+    return F.transform(F.array_sort(F.collect_list(F.struct(key, *fields))), lambda x: F.struct(*(x[f].alias(f) for f in fields)))
+
+
+def term_weights(events: DataFrame, text: str = "q", span: int = SPAN) -> DataFrame:
+    """(term, w): a good grade rewards the distinct terms of the question, a bad one takes as much away.
+
+    A step is a clamped sum, and such functions compose: the events are cut
+    into spans of time of about `span` events, a term's steps are composed
+    inside each span, and the spans then in order. No row holds more than a
+    span's steps of a term, however frequent it is.
+    """
+    add = F.when(F.col("label") == "good", F.lit(REWARD)).otherwise(F.lit(-DECAY))
+    spans = -(-events.count() // span)
+    cuts = (events.agg(F.percentile_approx(F.col("ts").cast("double"), [k / spans for k in range(1, spans)], 10 * spans)).first()[0] or []) if spans > 1 else []
+    at = sum((F.when(F.col("ts").cast("double") > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    rows = events.select("ts", at.alias("span"), add.alias("add"), F.lit(BASE_TERM).alias("low"), F.lit(MAX_TERM).alias("high"), F.explode(F.array_distinct(T.terms(F.coalesce(text, F.lit(""))))).alias("term"))
+    one = rows.groupBy("term", "span").agg(clamped_fold(in_order("ts", "add", "low", "high")).alias("f")).select("term", "span", "f.*")
+    return one.groupBy("term").agg(clamped_fold(in_order("span", "add", "low", "high")).alias("f")).select("term", _clamp(F.lit(BASE_TERM) + F.col("f.add"), F.col("f.low"), F.col("f.high")).alias("w"))
 
 
 def boosts(weights: DataFrame) -> DataFrame:
@@ -56,10 +78,12 @@ def blocked_sets(events: DataFrame) -> DataFrame:
     """(sig, blocked): of each question's rejected answers the texts, their sentences and parts, distinct, the latest 50."""
     text = F.coalesce("text", F.lit(""))
     parts = F.concat(F.array(text), T.feedback_sentences(text), F.coalesce("compose", F.array().cast("array<string>")))
-    rows = events.where("label = 'bad'").select("ts", T.signature(F.col("q")).alias("sig"), F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "").alias("parts"))
-    lists = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ts", "parts"))), lambda x: x["parts"]))
-    kept = rows.groupBy("sig").agg(F.array_distinct(lists).alias("all"))
-    return kept.select("sig", F.slice("all", F.greatest(F.lit(1), F.size("all") - MAX_BLOCKED + 1), F.lit(MAX_BLOCKED)).alias("blocked"))
+    rows = events.where("label = 'bad'").select("ts", T.signature(F.col("q")).alias("sig"), F.posexplode(F.filter(F.transform(parts, T.strip), lambda x: x != "")).alias("pos", "part"))
+    # a part stands where it came first; ranked before anything is gathered
+    first = rows.groupBy("sig", "part").agg(F.min(F.struct("ts", "pos")).alias("at"))
+    rank = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("at"), F.desc("part")))
+    kept = first.withColumn("rank", rank).where(F.col("rank") <= MAX_BLOCKED)
+    return kept.groupBy("sig").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]).alias("blocked"))
 
 
 def not_blocked(candidates: DataFrame, blocked: DataFrame) -> DataFrame:

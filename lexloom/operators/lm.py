@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import written
 
 SEP = "\u0001"
 ENDERS = "。．！？!?"
@@ -70,15 +71,15 @@ def drawn(probs: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def extended(model: DataFrame, seeds: DataFrame, order: int = 3, max_tokens: int = 5, temperature: float = 1.0, top_k: int = 0, sample: int | None = None, min_stop: int = 0) -> tuple[DataFrame, list[DataFrame]]:
-    """Seeds grown by at most max_tokens, all in step: a bounded loop of joins, greedy or drawn; and each step's probabilities."""
+    """Seeds grown by at most max_tokens, all in step: a bounded loop of joins, greedy or drawn; and each step's probabilities. Each step is written, so plans don't grow with the steps."""
     current = seeds.select("sid", "tokens", F.lit(False).alias("done"), F.lit(0).alias("made"))
     steps = []
     for k in range(max_tokens):
-        probs = probabilities(backoff(model, current.where("not done"), order), temperature, top_k)
+        probs = written(probabilities(backoff(model, current.where("not done"), order), temperature, top_k))
         steps.append(probs.withColumn("step", F.lit(k + 1)))
         chosen = probs.where("rank = 1").select("sid", "tok") if sample is None else drawn(probs, sample + k)
         stop = F.col("tok").rlike(f"[{ENDERS}]") & (F.col("made") + 1 >= min_stop)
-        current = current.join(chosen, "sid", "left").select("sid", F.when(F.col("tok").isNull(), F.col("tokens")).otherwise(F.concat("tokens", F.array("tok"))).alias("tokens"), (F.col("tok").isNull() | stop).alias("done"), (F.col("made") + F.col("tok").isNotNull().cast("int")).alias("made"))
+        current = written(current.join(chosen, "sid", "left").select("sid", F.when(F.col("tok").isNull(), F.col("tokens")).otherwise(F.concat("tokens", F.array("tok"))).alias("tokens"), (F.col("tok").isNull() | stop).alias("done"), (F.col("made") + F.col("tok").isNotNull().cast("int")).alias("made")))
     return current, steps
 
 

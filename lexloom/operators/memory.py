@@ -49,7 +49,7 @@ def text_rank(docs: DataFrame, n: int = 3, rounds: int = 20, damping: float = 0.
 
 def compress_conversations(turns: DataFrame, n: int = 3) -> DataFrame:
     """(conv_id, before_chars, after_chars, ratio, summary) of conversations (conv_id, turn, text)."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.trim(F.coalesce("text", F.lit(""))) != "", F.struct("turn", "text")))), lambda x: x["text"]), " ")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(T.strip(F.coalesce("text", F.lit(""))) != "", F.struct("turn", "text")))), lambda x: x["text"]), " ")
     whole = turns.groupBy(F.col("conv_id").alias("doc_id")).agg(text.alias("text"))
     out = whole.join(frequency_summary(whole, n), "doc_id", "left").select(F.col("doc_id").alias("conv_id"), F.length("text").cast("long").alias("before_chars"), F.length(F.coalesce("summary", F.lit(""))).cast("long").alias("after_chars"), F.coalesce("summary", F.lit("")).alias("summary"))
     ratio = F.when(F.col("before_chars") == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("after_chars") / F.col("before_chars")))

@@ -56,7 +56,7 @@ def mmr(hits: DataFrame, pairs: DataFrame, lam: float = 0.7, k: int | None = Non
 def build_context(hits: DataFrame) -> DataFrame:
     """(qid, context): `[i] text` of the hits in rank order, between blank lines; hits: qid, rank, text."""
     ordered = F.array_sort(F.collect_list(F.struct("rank", "text")))
-    return hits.groupBy("qid").agg(F.array_join(F.transform(ordered, lambda h, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.regexp_replace(h["text"], "^\\s+|\\s+$", ""))), "\n\n").alias("context"))
+    return hits.groupBy("qid").agg(F.array_join(F.transform(ordered, lambda h, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), T.strip(h["text"]))), "\n\n").alias("context"))
 
 
 def fill_template(context, query, template: str):
@@ -70,15 +70,20 @@ def fill_template(context, query, template: str):
 def groundedness(answers: DataFrame, contexts: DataFrame) -> DataFrame:
     """For each sentence: id, pos, sentence, supported, total, ratio, flagged; answers: id, answer; contexts: id, context.
 
-    Terms are counted with repeats; a sentence without terms has ratio 1.
+    Terms are counted with repeats; a sentence without terms has ratio 1. An
+    answer and its context meet once, by id, and are compared in the row; an
+    id has one context.
     """
-    sents = answers.select("id", F.posexplode(T.sentences(F.coalesce("answer", F.lit("")))).alias("pos", "sentence"))
-    known = contexts.select("id", F.explode(T.terms(F.coalesce("context", F.lit("")))).alias("term")).distinct().withColumn("known", F.lit(1))
-    terms = sents.select("id", "pos", F.explode(T.terms(F.col("sentence"))).alias("term")).groupBy("id", "pos", "term").agg(F.count("*").alias("m"))
-    counts = terms.join(known, ["id", "term"], "left").groupBy("id", "pos").agg(F.sum(F.col("m") * F.coalesce("known", F.lit(0))).alias("supported"), F.sum("m").alias("total"))
-    zero = F.lit(0).cast("long")
-    ratio = F.when(F.coalesce("total", zero) == 0, 1.0).otherwise(F.col("supported").cast("double") / F.col("total").cast("double"))
-    return sents.join(counts, ["id", "pos"], "left").select("id", "pos", "sentence", F.coalesce("supported", zero).alias("supported"), F.coalesce("total", zero).alias("total"), F.round(ratio, DIGITS).alias("ratio"), (ratio < 0.5).alias("flagged"))
+    known = contexts.select("id", "context")
+    sents = answers.join(known, "id", "left").select("id", F.array_distinct(T.terms(F.coalesce("context", F.lit("")))).alias("known"), T.sentences(F.coalesce("answer", F.lit(""))).alias("sentences"))
+
+    def checked(sentence, known):
+        held = lambda t: T.bind(F.array_intersect(t, known), lambda hit: F.size(F.filter(t, lambda x: F.array_contains(hit, x))))
+        return T.bind(T.terms(sentence), lambda t: F.struct(sentence.alias("sentence"), held(t).cast("long").alias("supported"), F.size(t).cast("long").alias("total")))
+
+    rows = sents.select("id", F.posexplode(T.bind(F.col("known"), lambda k: F.transform(F.col("sentences"), lambda s: checked(s, k)))).alias("pos", "s")).select("id", "pos", "s.*")
+    ratio = F.when(F.col("total") == 0, 1.0).otherwise(F.col("supported").cast("double") / F.col("total").cast("double"))
+    return rows.select("id", "pos", "sentence", "supported", "total", F.round(ratio, DIGITS).alias("ratio"), (ratio < 0.5).alias("flagged"))
 
 
 def leading_sentences(docs: DataFrame, limit: int = 110) -> DataFrame:
