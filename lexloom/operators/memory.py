@@ -71,6 +71,12 @@ def extract_answers(hits: DataFrame, docs: DataFrame, queries: DataFrame) -> Dat
     return sents.join(overlap, ["qid", "doc_id", "pos"]).withColumn("best", rank).where("best = 1").select("qid", "doc_id", "answer", "overlap")
 
 
+def find_in_pages(pages: DataFrame, needle: str) -> DataFrame:
+    """(doc_id, page, pos, sentence) of the sentences of pages (doc_id, page, text) that contain a string, whatever the case."""
+    sents = pages.select("doc_id", "page", F.posexplode(T.sentences(F.coalesce("text", F.lit("")))).alias("pos", "sentence"))
+    return sents.where(F.contains(F.lower("sentence"), F.lit(needle.lower())))
+
+
 def find_in_document(docs: DataFrame, needle: str) -> DataFrame:
     """(doc_id, pos, sentence) of the sentences that contain a string, whatever the case."""
     sents = docs.select("doc_id", F.posexplode(T.sentences(F.coalesce("text", F.lit("")))).alias("pos", "sentence"))

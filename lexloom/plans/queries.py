@@ -439,6 +439,22 @@ def bm25_boosted(spark, sf):
     return ranked(rt.bm25_scores(corpus_index(spark, sf), asks, boosts))
 
 
+#: Synonyms of every term that ends in s or not, and damping of terms by their length.
+SYNONYMS = "sy as (select term, case when term like '%s' then left(term, length(term) - 1) else term || 's' end as synonym, 0.5::double as weight from (select distinct term from q))"
+
+
+@query(f"""with {S.INDEX}, {S.QUERIES}, {SYNONYMS}, ex as (select qid, term, max(boost) as boost from (select qid, term, 1.0::double as boost from q union all select q.qid, synonym, weight from q join sy on sy.term = q.term) group by all),
+da as (select qid, term, boost * case when exists (select 1 from q where q.qid = ex.qid and q.term = ex.term) and len(term) <= 4 then 0.25::double else 1.0::double end as boost from ex),
+sc as (select da.qid, tf.doc_id, round(sum(boost * {S.bm25(1.5, 0.75)}), 9) as score from da join tf on da.term = tf.term join df on df.term = tf.term join dl on dl.doc_id = tf.doc_id cross join st group by all) {S.top(5)}""")
+def bm25_synonyms(spark, sf):
+    asks = asked(spark, sf)
+    own = rt.query_terms(asks)
+    plural = F.when(F.col("term").endswith("s"), F.expr("left(term, length(term) - 1)")).otherwise(F.concat("term", F.lit("s")))
+    synonyms = own.select("term").distinct().select("term", plural.alias("synonym"), F.lit(0.5).alias("weight"))
+    damped = own.where(F.length("term") <= 4).select("qid", "term", F.lit(0.25).alias("factor"))
+    return ranked(rt.bm25_scores(corpus_index(spark, sf), asks, synonyms=synonyms, damped=damped))
+
+
 # --- reranking and context ---
 
 
@@ -765,6 +781,15 @@ def find_in_document(spark, sf):
     return memory.find_in_document(docs(spark, sf), "license")
 
 
+@query(f"""with w as (select doc_id, text, unnest(range(0, greatest(0, ceil((length(text) - 2000) / 2000.0))::int + 1)) as k from documents where length(text) > 0),
+pg as (select doc_id, k, substring(text, (k * 2000 + 1)::bigint, 2000) as text from w), s as (select doc_id, k, unnest(ss) as sentence, (generate_subscripts(ss, 1) - 1)::int as pos from (select doc_id, k, {S.sentences('text')} as ss from pg))
+select doc_id, (k + 1)::int as page, pos, sentence from s where contains(lower(sentence), 'license')""")
+def find_in_pages(spark, sf):
+    """Search in pages of 2000 characters."""
+    pages = chunk.fixed_chunks(docs(spark, sf), 2000).select("doc_id", (F.col("chunk_id") + 1).alias("page"), "text")
+    return memory.find_in_pages(pages, "license")
+
+
 # --- evaluation ---
 
 #: Self-retrieval: a document's first 80 characters should find it.
@@ -955,7 +980,7 @@ VALUES = {
 
 
 @query(f"""with {_amounts()}, r as (select row_id, id, case id {" ".join(f"when '{k}' then {_value(v)}" for k, v in VALUES.items())} end as value, case id {" ".join(f"when '{k}' then '{u}'" for k, (_, u) in calc.SIGNATURES.items())} end as unit from ai)
-select row_id, id, unit, unit is not null and value is not null as ok, case when unit is null then 'unknown formula' when value is null then 'division by zero' end as why, round(value / power(10, floor(log10(nullif(value, 0)))) + 1e-9::double, 6) as digits, coalesce(floor(log10(nullif(value, 0))), 0)::int as exponent from r""")
+select row_id, id, unit, unit is not null and value is not null as ok, case when unit is null then 'unknown formula' when value is null then 'division by zero' end as why, round(value / power(10, floor(log10(nullif(value, 0)))) + 3e-13::double, 6) as digits, coalesce(floor(log10(nullif(value, 0))), 0)::int as exponent from r""")
 def calc_compute(spark, sf):
     """All formulas over all lines; values as six digits and a power of ten."""
     amount = lambda v, u: F.struct(F.expr(v).cast("double").alias("value"), F.lit(u).alias("unit"))
@@ -963,7 +988,7 @@ def calc_compute(spark, sf):
     name = F.get(F.array(*map(F.lit, IDS)), F.pmod(F.col("l_orderkey") + F.col("l_linenumber"), F.lit(len(IDS))).cast("int"))
     got = calc.compute(read(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), name.alias("id"), inputs.alias("inputs")))
     power = F.floor(F.log10(F.when(F.col("value") != 0, F.col("value"))))
-    return got.select("row_id", "id", "unit", "ok", "why", F.round(F.col("value") / F.pow(F.lit(10.0), power) + 1e-9, 6).alias("digits"), F.coalesce(power, F.lit(0)).cast("int").alias("exponent"))
+    return got.select("row_id", "id", "unit", "ok", "why", F.round(F.col("value") / F.pow(F.lit(10.0), power) + 3e-13, 6).alias("digits"), F.coalesce(power, F.lit(0)).cast("int").alias("exponent"))
 
 
 REGISTRY = ", ".join(f"('{cat}', '{k}', '{t}', " + (f"'{calc.HIDERS[t]}'" if t in calc.HIDERS else "null::varchar") + ")" for cat, entries in (("formula", calc.FORMULAS), ("table", calc.TABLES)) for k, ts in entries.items() for t in ts)

@@ -121,3 +121,28 @@ def test_goals_are_whole_turns(spark, folder):
 def test_groundedness_of_all_documents(spark, folder):
     rows = run(spark, "groundedness", folder)
     assert {r.id for r in rows} == {r.doc_id for r in spark.read.parquet(f"{folder}/documents.parquet").collect() if r.text}
+
+
+def test_text_rank_equals_a_plain_computation(spark, sf_dir):
+    """PageRank over term cosines, twenty rounds, the two best sentences in text order."""
+    import math
+    import re
+    from collections import Counter
+
+    def sentences(text):
+        flat = re.sub(r"\s+", " ", text).strip()
+        return [x.strip() for x in re.split(r"(?<=[。．！？!?])|(?<=\.)(?=\s|$)", flat) if x.strip()]
+
+    for r in run(spark, "text_rank_summary", sf_dir):
+        text = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where(F.col("item_id") == r.doc_id).first().text if r.doc_id < 6 else None
+        if text is None:
+            continue
+        ss = sentences(text)
+        bags = [Counter(re.findall(r"[a-z][a-z0-9\-]+", x.lower())) for x in ss]
+        norm = [math.sqrt(sum(v * v for v in b.values())) for b in bags]
+        cos = [[sum(a[t] * b[t] for t in a) / (norm[i] * norm[j]) if i != j and norm[i] and norm[j] else 0.0 for j, b in enumerate(bags)] for i, a in enumerate(bags)]
+        rank = [1.0] * len(ss)
+        for _ in range(20):
+            rank = [0.15 + 0.85 * sum(cos[i][j] / sum(cos[i]) * rank[i] for i in range(len(ss)) if cos[i][j]) for j in range(len(ss))]
+        best = sorted(sorted(range(len(ss)), key=lambda k: (-round(rank[k], 9), k))[:2])
+        assert r.summary == " ".join(ss[k] for k in best)
