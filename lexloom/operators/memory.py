@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -21,30 +25,40 @@ def frequency_summary(docs: DataFrame, n: int = 3) -> DataFrame:
     return best.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), " ").alias("summary"))
 
 
-def text_rank(docs: DataFrame, n: int = 3, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """(doc_id, summary): the n sentences of highest PageRank in each text's graph of term-cosine similarities.
+def sentence_ranks(terms, rounds: int, damping: float) -> np.ndarray:
+    """PageRank of a text's sentences (lists of terms) in the graph of their cosines.
 
-    The graph stays inside a text; ranks are arrays folded inside the row, so
-    rounds cost no shuffle.
+    A round goes through the terms and back, so the work is linear in the
+    text's terms; the pairs of sentences are never made.
     """
-    sents = docs.select("doc_id", F.posexplode(T.sentences(F.coalesce("text", F.lit("")))).alias("pos", "sentence"))
-    tf = sents.select("doc_id", "pos", F.explode(T.terms(F.col("sentence"))).alias("term")).groupBy("doc_id", "pos", "term").agg(F.count("*").alias("f"))
-    norm = tf.groupBy("doc_id", "pos").agg(F.sqrt(F.sum(F.col("f") * F.col("f"))).alias("n"))
-    a, b = tf.select("doc_id", "term", F.col("pos").alias("a"), F.col("f").alias("fa")), tf.select("doc_id", "term", F.col("pos").alias("b"), F.col("f").alias("fb"))
-    dots = a.join(b, ["doc_id", "term"]).where("a <> b").groupBy("doc_id", "a", "b").agg(F.sum(F.col("fa") * F.col("fb")).alias("dot"))
-    cos = dots.join(norm.withColumnRenamed("pos", "a").withColumnRenamed("n", "na"), ["doc_id", "a"]).join(norm.withColumnRenamed("pos", "b").withColumnRenamed("n", "nb"), ["doc_id", "b"]).select("doc_id", "a", "b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("w"))
-    share = cos.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("doc_id", "a")))
-    into = share.groupBy("doc_id", "b").agg(F.collect_list(F.struct("a", "share")).alias("into"))
-    graph = sents.select("doc_id", F.col("pos").alias("b")).join(into, ["doc_id", "b"], "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("b", "into"))).alias("g"))
-
-    def one_round(ranks: Column, g: Column) -> Column:
-        return F.transform(g, lambda x: F.lit(1 - damping) + F.lit(damping) * F.coalesce(F.aggregate(x["into"], F.lit(0.0), lambda s, e: s + e["share"] * F.get(ranks, e["a"])), F.lit(0.0)))
-
-    ranks = T.bind(F.col("g"), lambda g: F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.transform(g, lambda _: F.lit(1.0)), lambda r, _: one_round(r, g)))
-    scored = graph.select("doc_id", F.posexplode(ranks).alias("pos", "score")).withColumn("score", F.round("score", 9))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "pos"))
-    best = sents.join(scored, ["doc_id", "pos"]).withColumn("rank", rank).where(F.col("rank") <= n)
-    return best.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), " ").alias("summary"))
+    n, number = len(terms), {}
+    cells = [(k, number.setdefault(t, len(number)), f) for k, ts in enumerate(terms) for t, f in Counter(ts).items()]
+    rows, cols, weight = (np.array(x, d) for x, d in zip(zip(*cells) if cells else [()] * 3, (np.int64, np.int64, np.float64)))
+    norm = np.sqrt(np.bincount(rows, weight**2, n))
+    weight = weight / norm[rows]
+    itself = np.bincount(rows, weight**2, n)
+    degree = np.bincount(rows, weight * np.bincount(cols, weight, len(number))[cols], n) - itself
+    rank = np.ones(n)
+    for _ in range(rounds):
+        share = np.where(degree > 1e-12, rank / np.maximum(degree, 1e-12), 0.0)
+        through = np.bincount(cols, weight * share[rows], len(number))
+        rank = 1 - damping + damping * (np.bincount(rows, weight * through[cols], n) - itself * share)
+    return rank
+
+
+def text_rank(docs: DataFrame, n: int = 3, rounds: int = 20, damping: float = 0.85) -> DataFrame:
+    """(doc_id, summary): the n sentences of highest PageRank in each text's graph of term-cosine similarities, in text order; a text without sentences has no row."""
+    sents = docs.select("doc_id", T.sentences(F.coalesce("text", F.lit(""))).alias("sentences")).where("size(sentences) > 0")
+
+    def work(batches):
+        for batch in batches:
+            out = []
+            for sentences, terms in zip(batch["sentences"], batch["terms"]):
+                rank = np.round(sentence_ranks(list(terms), rounds, damping), 9)
+                out.append(" ".join(sentences[k] for k in sorted(np.argsort(-rank, kind="stable")[:n])))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "summary": out})
+
+    return sents.select("doc_id", "sentences", F.transform("sentences", T.terms).alias("terms")).mapInPandas(work, "doc_id long, summary string")
 
 
 def compress_conversations(turns: DataFrame, n: int = 3) -> DataFrame:

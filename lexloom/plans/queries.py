@@ -306,7 +306,7 @@ f as (select id, 0 as i, '' as buf, '' as done from {lists} union all
  select id, i + 1, case when {S.maths('l')} then buf when l = '' or {S.heading('l')} then '' when regexp_matches(joint, {last}) then regexp_extract(joint, {last}, 2) when length(joint) > 180 then '' else joint end,
   case when {S.maths('l')} or l = '' or {S.heading('l')} then '' else regexp_extract(joint, {last}, 1) end
  from (select f.id, f.i, f.buf, x.ls[f.i + 1] as l, f.buf || x.ls[f.i + 1] as joint from f join {lists} x on f.id = x.id where f.i < len(x.ls))),
-e as (select id, i, unnest({made}) as s from f where done <> '')"""
+e as (select id, i, unnest(x) as s, generate_subscripts(x, 1) as k from (select id, i, {made} as x from f where done <> ''))"""
 
 
 @query(f"with recursive {P.MIXED}, {BODY}, ll as (select doc_id as id, ls from b), {_emission('ll')} select b.doc_id, count(e.s)::int as n, coalesce(sum(length(e.s)), 0)::bigint as chars from b left join e on e.id = b.doc_id group by all")
@@ -327,6 +327,77 @@ def deinterleave(spark, sf):
     return corpus.choose_order(rows).select("doc_id", F.size("sentences").alias("n"), "deinterleaved", "ya", "yb")
 
 
+@query(f"""with recursive {P.MIXED}, {BODY}, ll as (select 2 * doc_id as id, ls from b union all select 2 * doc_id + 1, list_concat(list_filter(ls, lambda x, i: i % 2 = 1), list_filter(ls, lambda x, i: i % 2 = 0)) from b), {_emission('ll')},
+y as (select ll.id // 2 as doc_id, ll.id % 2 as side, len(any_value(ll.ls)) as n_lines, count(e.s) as n, coalesce(sum((length(e.s) >= 18 and not {S.junk('e.s')})::int), 0) as clean, string_agg(e.s, chr(1) order by e.i, e.k) as made from ll left join e on e.id = ll.id group by all)
+select q.doc_id, q.n::int as n, md5(q.made) as sentences from y p join y q on p.doc_id = q.doc_id and p.side = 0 and q.side = 1
+ where q.n_lines >= 6 and q.clean > 0 and (p.clean = 0 or q.clean > p.clean * 1.2::double or q.clean > p.clean) and q.n >= 2""")
+def rewrites(spark, sf):
+    """Documents that are rewritten: those put into another order, with two sentences at least."""
+    lines = F.filter(F.transform(F.split("text", "\n"), T.clean_line), lambda x: x != "")
+    chosen = corpus.choose_order(mixed(spark, sf).select("doc_id", lines.alias("body")))
+    return corpus.rewrites(chosen).select("doc_id", F.size("sentences").alias("n"), digest("sentences").alias("sentences"))
+
+
+DUMP = ("'before' || chr(10) || '# ' || lang || '編' || chr(10) || '## Doc ' || doc_id || '.pdf' || chr(10) || '- `σ = ' || n_chars || ' ⁻¹²·`' || chr(10) || '- `crumb`' || chr(10) || '| a | ' || doc_id || ' |' || chr(10) || '---' || chr(10)", "chr(10) || '### no chapter' || chr(10) || '## Empty' || chr(10) || chr(10) || '## Tail' || chr(10) || '- `x=1`' || chr(10) || '#　後編'")
+CLEAN = S.replaced("raw", (S.GARBAGE_TOO, ""), ("[⁻₋][⁰¹²³⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉]+[·・]", ""), ("[ \\t]{2,}", " "), ("^\\s+|\\s+$", ""))
+CHAPTERS = f"""
+du as (select d.doc_id, {DUMP[0].replace('doc_id', 'd.doc_id')} || m.text || {DUMP[1]} as text from documents d join m using (doc_id)),
+ln as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from du),
+k1 as (select *, {S.matches('line', corpus.VOLUME)} as vol, not {S.matches('line', corpus.VOLUME)} and {S.matches('line', corpus.CHAPTER)} and not starts_with(line, '###') as chap from ln),
+k2 as (select *, sum(chap::int) over w as no, coalesce(last_value(case when vol then regexp_extract(line, {S.wide(corpus.VOLUME)}, 1) end ignore nulls) over w, '') as volume, case when {S.matches('line', corpus.FORMULA)} then regexp_extract(line, {S.wide(corpus.FORMULA)}, 1) else line end as raw from k1 window w as (partition by doc_id order by pos rows between unbounded preceding and current row)),
+k3 as (select doc_id, no, pos, volume, raw, {S.strip(f"regexp_extract(line, {S.wide(corpus.CHAPTER)}, 1)")} as name, case when vol then null when chap then 'head' when {S.matches('line', corpus.FORMULA)} then 'formula' when {S.matches('line', '^\\s*\\|')} then 'table' when {S.strip('line')} not in ('', '---') then 'prose' end as kind, {CLEAN} as l from k2 where no > 0),
+k4 as (select *, {SIGNAL} as signal from k3 where kind is not null),
+ch as (select doc_id, no, max(name) filter (kind = 'head') as title, max(volume) filter (kind = 'head') as volume, coalesce(list(l order by pos) filter (kind = 'formula' and signal and l <> ''), []) as formulas, coalesce(list(l order by pos) filter (kind = 'table' and l <> ''), []) as tables, coalesce(list(l order by pos) filter (kind = 'prose' and l <> ''), []) as prose,
+ count(*) filter (kind = 'formula') as formulas_in, count(*) filter (kind = 'formula' and signal) as formulas_kept, count(*) filter (kind = 'formula' and l <> raw) as cleaned from k4 group by all)"""
+
+
+def _chapters(spark, sf):
+    whole = docs_of(spark, sf, "lang", "n_chars").join(mixed(spark, sf), "doc_id")
+    before = F.concat(F.lit("before\n# "), "lang", F.lit("編\n## Doc "), F.col("doc_id").cast("string"), F.lit(".pdf\n- `σ = "), F.col("n_chars").cast("string"), F.lit(" ⁻¹²·`\n- `crumb`\n| a | "), F.col("doc_id").cast("string"), F.lit(" |\n---\n"))
+    return corpus.parse_chapters(whole.select(F.col("doc_id").alias("dump_id"), F.concat(before, "text", F.lit("\n### no chapter\n## Empty\n\n## Tail\n- `x=1`\n#　後編")).alias("text")))
+
+
+@query(f"with {P.MIXED}, {CHAPTERS} select doc_id, no::int as chapter_no, title, volume, len(formulas)::int as n_formulas, len(tables)::int as n_tables, len(prose)::int as n_prose, md5(array_to_string(list_concat(formulas, tables, prose), chr(1))) as parts from ch where len(formulas) + len(tables) + len(prose) > 0")
+def chapters(spark, sf):
+    """Chapters of dumps made of documents, empty ones dropped."""
+    found = corpus.drop_empty(_chapters(spark, sf))
+    return found.select(F.col("dump_id").alias("doc_id"), F.col("chapter_no").cast("int").alias("chapter_no"), "title", "volume", F.size("formulas").alias("n_formulas"), F.size("tables").alias("n_tables"), F.size("prose").alias("n_prose"), digest(F.concat("formulas", "tables", "prose")).alias("parts"))
+
+
+@query(f"""with {P.MIXED}, {CHAPTERS} select doc_id, no::int as chapter_no, md5(regexp_replace('# ' || title || chr(10) || chr(10) || '> **編**: ' || case when coalesce(volume, '') = '' then '—' else volume end || chr(10) || chr(10)
+ || case when len(prose) > 0 then array_to_string(prose, chr(10)) || chr(10) || chr(10) else '' end || case when len(formulas) > 0 then '## 計算式' || chr(10) || chr(10) || array_to_string(list_transform(formulas, lambda f: '- `' || f || '`'), chr(10)) || chr(10) || chr(10) else '' end
+ || case when len(tables) > 0 then '## 表' || chr(10) || chr(10) || array_to_string(tables, chr(10)) || chr(10) || chr(10) else '' end, '{S.W}+$', '') || chr(10)) as markdown from ch""")
+def chapter_markdown(spark, sf):
+    return _chapters(spark, sf).select(F.col("dump_id").alias("doc_id"), F.col("chapter_no").cast("int").alias("chapter_no"), md5(corpus.render_chapter()).alias("markdown"))
+
+
+@query(f"with {P.MIXED}, {CHAPTERS} select sum(formulas_in)::bigint as formulas_in, sum(formulas_kept)::bigint as formulas_kept, sum(cleaned)::bigint as cleaned, count(*) as chapters from ch")
+def chapter_metrics(spark, sf):
+    return corpus.corpus_metrics(_chapters(spark, sf))
+
+
+@query(f"""with {P.MIXED}, ln as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from m),
+k as (select *, {S.matches(S.strip('line'), corpus.SECTION)} as head, {S.matches(S.strip('line'), corpus.STOP)} as stop from ln), p as (select *, sum(stop::int) over (partition by doc_id order by pos) as part from k),
+g as (select doc_id, part, max(pos) filter (head) as pos, arg_max({S.strip('line')}, pos) filter (head) as h, coalesce(string_agg(line, chr(10) order by pos) filter (not stop), '') as body from p group by all)
+select doc_id, pos::int as pos, regexp_replace(regexp_replace(h, '^#{S.W}*', ''), '{S.W}+', '', 'g') as key, md5(body) as body from g where pos is not null""")
+def text_sections(spark, sf):
+    found = corpus.text_sections(mixed(spark, sf).select(F.col("doc_id").alias("file_id"), "text"))
+    return found.select(F.col("file_id").alias("doc_id"), "pos", "key", md5(F.col("body")).alias("body"))
+
+
+def _pairs_sql(source: str, key: str) -> str:
+    return f"select {key} as id, c[i] as a, c[i + 1] as b from (select {key}, c, unnest(range(1, len(c))) as i from (select {key}, string_split(coalesce(text, ''), '') as c from {source}))"
+
+
+@query(f"""with bp as ({_pairs_sql('benchmark', 'item_id')}), bn as (select a, b, count(*) as n from bp group by all), bt as (select a, sum(n) as total, count(*) as kinds from bn group by all), bm as (select a, b, ln((n + 0.5::double) / (total + 0.5::double * (kinds + 1))) as logp from bn join bt using (a)),
+dp as ({_pairs_sql('documents', 'doc_id')}), sc as (select id, round(avg(coalesce(logp, -12.0::double)), 9) as fluency from dp left join bm using (a, b) group by all)
+select doc_id as text_id, round(coalesce(fluency, -12.0::double), 6) as fluency from documents left join sc on sc.id = doc_id""")
+def fluency(spark, sf):
+    """Mean log-probability of each document's character pairs in a model of the benchmark."""
+    model = corpus.bigram_model(read(spark, sf, "benchmark"))
+    return corpus.fluency(docs(spark, sf).withColumnRenamed("doc_id", "text_id"), model).withColumn("fluency", F.round("fluency", 6))
+
+
 TIDIED = S.replaced("text", *S.TIDY)
 
 
