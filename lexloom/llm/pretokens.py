@@ -106,6 +106,13 @@ def run(symbols: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
     return BEGINS.reshape(-1).take(np.ascontiguousarray(seen.T).reshape(-1)[:n])
 
 
+def special_string(added: list[dict]) -> bytes:
+    """The special string of a tokenizer file: of none or one added token that is matched as it stands; other files are refused."""
+    if len(added) > 1 or any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("a file with one added token at most, matched as it stands, is needed")
+    return added[0]["content"].encode() if added else b""
+
+
 def boundaries(offsets: np.ndarray, data: np.ndarray, special: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
     """Byte positions where pretokens begin, and of those the ones that are the special string."""
     if not len(data):

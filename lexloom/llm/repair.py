@@ -18,6 +18,7 @@ left, right, expansion length uint32[rules]; sequence.
 from __future__ import annotations
 
 import itertools
+import json
 import zlib
 
 import numpy as np
@@ -51,8 +52,8 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
-        added = self.library.get_added_tokens_decoder().values()
-        self.special = next((t.content.encode() for t in added if t.special), b"")
+        with open(path, encoding="utf-8") as f:
+            self.special = pretokens.special_string(json.load(f)["added_tokens"])
         self.reset()
 
     def reset(self) -> None:

@@ -49,8 +49,8 @@ class CountMachine:
             spec = json.load(f)
         stand = byte_alphabet()
         as_bytes = lambda s: bytes(stand[c] for c in s)
-        special = {t["content"] for t in spec["added_tokens"]}
-        self.special = next(iter(special), "").encode()
+        self.special = pretokens.special_string(spec["added_tokens"])
+        special = {self.special.decode()}
         self.tokens = {as_bytes(t) for t in spec["model"]["vocab"] if t not in special}
         self.rank = {}
         for k, m in enumerate(spec["model"]["merges"]):

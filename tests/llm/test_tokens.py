@@ -1,6 +1,7 @@
 """op4, op7 and op8 against the libraries and against brute force."""
 
 import collections
+import json
 import random
 import zlib
 
@@ -66,6 +67,16 @@ def test_op7(docs, none, known, library):
     assert token_counts.token_counts(none, PATH).count() == 0
 
 
+def test_files_with_several_added_tokens_are_refused(tmp_path):
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["added_tokens"].append(spec["added_tokens"][0] | {"id": 50257, "content": "<|other|>"})
+    (tmp_path / "two.json").write_text(json.dumps(spec), encoding="utf-8")
+    for kind in (token_counts.CountMachine, repair.Encoder):
+        with pytest.raises(ValueError):
+            kind(str(tmp_path / "two.json"))
+
+
 def test_blocks_round_trip_and_decode_one_document():
     r = np.random.default_rng(3)
     docs = [np.append(r.integers(1, 30, r.integers(0, 400)), 0) for _ in range(40)]
