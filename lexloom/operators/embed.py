@@ -39,8 +39,9 @@ def embeddings(docs: DataFrame, dim: int = 64) -> DataFrame:
 def nearest(queries: DataFrame, items: DataFrame, k: int = 5, min_cos: float | None = None) -> DataFrame:
     """(qid, item_id, cos, rank) by brute force over all items; rows: qid, v and item_id, v.
 
-    Queries are a stated set of QUERIES at most, so they are broadcast in
-    blocks of vectors; each item meets them in one pass.
+    Queries are a stated set of QUERIES at most, so they are broadcast; each
+    item meets them in one pass, and a task keeps the best k of a query before
+    anything is shuffled.
     """
     if queries.count() > QUERIES:
         raise ValueError(f"{QUERIES} queries at a time at most")
