@@ -108,8 +108,11 @@ def space_tokens(text: Column) -> Column:
 
 def fnv1a(text: Column) -> Column:
     """32-bit FNV-1a over UTF-16 code units, as a non-negative long."""
-    units = bind(F.hex(F.encode(text, "UTF-16BE")), lambda h: F.when(F.length(h) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(_all(h, "[0-9A-F]{4}"), lambda u: F.conv(u, 16, 10).cast("bigint"))))
-    return F.aggregate(units, F.lit(2166136261).cast("bigint"), lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619).cast("bigint")).bitwiseAND(F.lit(4294967295)))
+    step = lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619).cast("bigint")).bitwiseAND(F.lit(4294967295))
+    points = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("bigint"))
+    # a character beyond the basic plane has two units
+    both = lambda h, c: step(step(h, F.lit(55232) + F.shiftright(c, 10)), F.lit(56320) + c.bitwiseAND(F.lit(1023)))
+    return F.aggregate(points, F.lit(2166136261).cast("bigint"), lambda h, c: F.when(c < 65536, step(h, c)).otherwise(both(h, c)))
 
 
 def token_ids(tokens: Column) -> Column:

@@ -24,16 +24,16 @@ def features(text: Column) -> Column:
 def embeddings(docs: DataFrame, dim: int = 64) -> DataFrame:
     """(doc_id, embedding): signed counts of features by hash, L2-normalised; a text without tokens has zeros.
 
-    The cells of a text are summed where its features are made, so one row
-    for each text is shuffled.
+    Cells are summed where their features are made, so a text sends one row
+    for each of its cells, `dim` at most, and never its features.
     """
-    rows = docs.select("doc_id", F.explode_outer(features(F.coalesce("text", F.lit("")))).alias("f")).select("doc_id", T.fnv1a(F.col("f")).alias("h"))
-    cell = F.pmod("h", F.lit(dim))
+    hashed = docs.select("doc_id", F.explode_outer(features(F.coalesce("text", F.lit("")))).alias("f")).select("doc_id", T.fnv1a(F.col("f")).alias("h"))
     sign = F.when(F.shiftright("h", 16).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1)
-    sums = rows.select("doc_id", cell.alias("cell"), sign.alias("sign")).groupBy("doc_id").agg(*(F.sum(F.when(F.col("cell") == k, F.col("sign"))).alias(f"c{k}") for k in range(dim)))
-    values = F.array(*(F.coalesce(F.col(f"c{k}"), F.lit(0)).cast("double") for k in range(dim)))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    return sums.select("doc_id", values.alias("v")).select("doc_id", "v", F.when(norm == 0, 1.0).otherwise(norm).alias("n")).select("doc_id", F.transform("v", lambda x: x / F.col("n")).alias("embedding"))
+    cells = hashed.groupBy("doc_id", F.pmod("h", F.lit(dim)).cast("int").alias("cell")).agg(F.sum(sign).cast("double").alias("v"))
+    some = F.col("cell").isNotNull()
+    rows = cells.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.when(some, F.struct("cell", "v")))).alias("m"), F.sqrt(F.coalesce(F.sum(F.when(some, F.col("v") * F.col("v"))), F.lit(0.0))).alias("n"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)) / F.when(F.col("n") == 0, 1.0).otherwise(F.col("n")))
+    return rows.select("doc_id", dense.alias("embedding"))
 
 
 def nearest(queries: DataFrame, items: DataFrame, k: int = 5, min_cos: float | None = None) -> DataFrame:
