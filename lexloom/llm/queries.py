@@ -12,6 +12,7 @@ from .repair import op4_repair_token_files
 from .rule_ledger import OP5_SQL, op5_rule_ledger
 from .site_lines import OP9_SQL, op9_site_spread_lines
 from .token_counts import op7_token_counts
+from .variants import OP12_SQL, op12_spelling_variants
 
 QUERIES = {
     f.__name__: f
@@ -26,6 +27,7 @@ QUERIES = {
         op8_nbest_pieces,
         op9_site_spread_lines,
         op10_jaccard_join,
+        op12_spelling_variants,
     )
 }
-ORACLES = {"op5_rule_ledger": OP5_SQL, "op9_site_spread_lines": OP9_SQL}
+ORACLES = {"op5_rule_ledger": OP5_SQL, "op9_site_spread_lines": OP9_SQL, "op12_spelling_variants": OP12_SQL}
