@@ -5,6 +5,7 @@ from __future__ import annotations
 from .class_lm import op3_class_lm
 from .decontaminate import op1_bm25_decontamination
 from .factors import op6_lpf_dedup
+from .impact_index import OP13_SQL, op13_ranked_search
 from .jaccard import op10_jaccard_join
 from .nbest import op8_nbest_pieces
 from .quality_rank import op2_bradley_terry_quality
@@ -28,6 +29,7 @@ QUERIES = {
         op9_site_spread_lines,
         op10_jaccard_join,
         op12_spelling_variants,
+        op13_ranked_search,
     )
 }
-ORACLES = {"op5_rule_ledger": OP5_SQL, "op9_site_spread_lines": OP9_SQL, "op12_spelling_variants": OP12_SQL}
+ORACLES = {"op5_rule_ledger": OP5_SQL, "op9_site_spread_lines": OP9_SQL, "op12_spelling_variants": OP12_SQL, "op13_ranked_search": OP13_SQL}
