@@ -12,6 +12,7 @@ from .quality_rank import op2_bradley_terry_quality
 from .repair import op4_repair_token_files
 from .rule_ledger import OP5_SQL, op5_rule_ledger
 from .site_lines import OP9_SQL, op9_site_spread_lines
+from .source_mix import op11_source_mix
 from .token_counts import op7_token_counts
 from .variants import OP12_SQL, op12_spelling_variants
 
@@ -28,6 +29,7 @@ QUERIES = {
         op8_nbest_pieces,
         op9_site_spread_lines,
         op10_jaccard_join,
+        op11_source_mix,
         op12_spelling_variants,
         op13_ranked_search,
     )
