@@ -17,8 +17,8 @@ from patterns to sources, and each source has a quota.
 3. The words of an arc are spread over its documents: each is read as often as
    all can be, and the rest goes to documents in the order of a seeded hash of
    their text and doc_id, up to the one where the words are used up, which is
-   read in part. Cuts are found from sums over 4096 classes of hashes, then over
-   4096 parts of the class that holds the cut; only what is left is sorted.
+   read in part. The cut is found from the sums of 256 parts of the hashes, then
+   of 256 parts of that part, and so on; only the last part's documents are sorted.
 
 The network has one row for each pattern of several sources, CELLS cells
 (patterns by sources) at most on the driver. Beyond that the patterns with the
@@ -42,7 +42,8 @@ WEIGHTS, MOST, SEED = (5.0, 2.0, 1.0), 3, 0
 CELLS = 500_000
 #: Readings that are told apart by cost.
 READINGS = 64
-_CLASSES = 4096
+#: A cut is found from sums over 256 parts, so many times in turn.
+LEVELS = 3
 
 
 def targets(sizes: list[int], weights: list[float], most: int = MOST) -> list[float]:
@@ -141,27 +142,21 @@ def words_of(text: Column) -> Column:
 
 def cuts(rows: DataFrame, arcs: DataFrame) -> DataFrame:
     """rows (arc, hash, size, ...) with `got`: the part of the arc's `rest` words that falls on a row, in the order of hashes."""
-    first, second = F.shiftrightunsigned("hash", 52).cast("int"), (F.shiftrightunsigned("hash", 40) % _CLASSES).cast("int")
+    parts = [F.shiftrightunsigned("hash", 64 - 8 * k).cast("long") for k in range(1, LEVELS + 1)]  # the hash's first bytes
     before = Window.partitionBy("arc").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-
-    def crossing(sums: DataFrame, rest: DataFrame) -> DataFrame:
-        """(arc, cut, rest): the part in which the rest ends and what is left of it there."""
-        run = sums.join(F.broadcast(rest), "arc").withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
-        return run.where("before < rest and before + words >= rest").select("arc", F.col("part").alias("cut"), (F.col("rest") - F.col("before")).alias("rest"))
-
-    live = rows.where("size > 0")
-    one = textkit.saved(crossing(live.groupBy("arc", first.alias("part")).agg(F.sum("size").alias("words")), arcs.where("rest > 0").select("arc", "rest")))
-    inside = live.join(F.broadcast(one), (live["arc"] == one["arc"]) & (first == F.col("cut"))).select(live["arc"], second.alias("part"), "size")
-    two = textkit.saved(crossing(inside.groupBy("arc", "part").agg(F.sum("size").alias("words")), one.select("arc", "rest")))
-    marks = one.select("arc", F.col("cut").alias("cut_one")).join(two.select("arc", F.col("cut").alias("cut_two"), F.col("rest").alias("left")), "arc")
-    placed = rows.join(F.broadcast(marks), "arc", "left").withColumn("one", first).withColumn("two", second)
-    here = (F.col("one") == F.col("cut_one")) & (F.col("two") == F.col("cut_two")) & (F.col("size") > 0)
-    placed = placed.withColumn("here", F.coalesce(here, F.lit(False)))
-    low = (F.col("one") < F.col("cut_one")) | ((F.col("one") == F.col("cut_one")) & (F.col("two") < F.col("cut_two")))
-    whole = placed.where("not here").withColumn("got", F.when(low, F.col("size")).otherwise(F.lit(0)).cast("long"))
+    inside, marks = rows.where("size > 0"), textkit.saved(arcs.where("rest > 0").select("arc", "rest"))
+    for part in parts:
+        # the part in which the rest ends, and what is left of it there
+        sums = inside.groupBy("arc", part.alias("part")).agg(F.sum("size").alias("words")).join(F.broadcast(marks), "arc")
+        run = sums.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
+        marks = textkit.saved(run.where("before < rest and before + words >= rest").select("arc", F.col("part").alias("cut"), (F.col("rest") - F.col("before")).alias("rest")))
+        inside = rows.where("size > 0").join(F.broadcast(marks.select("arc", "cut")), "arc").where(part == F.col("cut")).drop("cut")
+    placed = rows.join(F.broadcast(marks.withColumnRenamed("rest", "left")), "arc", "left")
+    here = F.coalesce((parts[-1] == F.col("cut")) & (F.col("size") > 0), F.lit(False))
+    whole = placed.where(~here).withColumn("got", F.when(parts[-1] < F.col("cut"), F.col("size")).otherwise(F.lit(0)).cast("long"))
     order = Window.partitionBy("arc").orderBy("hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    cut = placed.where("here").withColumn("got", F.greatest(F.lit(0), F.least("size", F.col("left") - F.coalesce(F.sum("size").over(order), F.lit(0)))).cast("long"))
-    return whole.unionByName(cut).drop("cut_one", "cut_two", "left", "one", "two", "here")
+    cut = placed.where(here).withColumn("got", F.greatest(F.lit(0), F.least("size", F.col("left") - F.coalesce(F.sum("size").over(order), F.lit(0)))).cast("long"))
+    return whole.unionByName(cut).drop("cut", "left")
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
