@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 
-#: Most queries of one search by brute force.
-QUERIES = 100_000
+#: Most bytes of the queries of one search by brute force; VectorIndex.search has no such bound.
+QUERY_BYTES = 24 << 20
 
 
 def features(text: Column) -> Column:
@@ -39,12 +39,12 @@ def embeddings(docs: DataFrame, dim: int = 64) -> DataFrame:
 def nearest(queries: DataFrame, items: DataFrame, k: int = 5, min_cos: float | None = None) -> DataFrame:
     """(qid, item_id, cos, rank) by brute force over all items; rows: qid, v and item_id, v.
 
-    Queries are a stated set of QUERIES at most, so they are broadcast; each
+    Queries are a stated set of QUERY_BYTES at most, so they are broadcast; each
     item meets them in one pass, and a task keeps the best k of a query before
     anything is shuffled.
     """
-    if queries.count() > QUERIES:
-        raise ValueError(f"{QUERIES} queries at a time at most")
+    if (queries.agg(F.sum(8 * F.coalesce(F.size("v"), F.lit(0)) + 24)).first()[0] or 0) > QUERY_BYTES:
+        raise ValueError(f"{QUERY_BYTES} bytes of queries at a time at most")
     q = queries.select("qid", F.col("v").alias("qv"))
     scored = items.select("item_id", "v").crossJoin(F.broadcast(q)).select("qid", "item_id", F.round(V.cosine(F.col("qv"), F.col("v")), 9).alias("cos"))
     if min_cos is not None:

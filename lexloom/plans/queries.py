@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import agent, ask, calc, chunk, corpus, embed, evaluate, feedback, lm, memory, rerank
+from ..operators import agent, ask, calc, chunk, corpus, embed, evaluate, feedback, lm, memory, rerank, vector_index
 from ..operators import index as ix
 from ..operators import retrieve as rt
 from ..sources.tables import written, written_path
@@ -668,6 +668,28 @@ def vec_recall(spark, sf):
     return found.select("qid", "item_id", F.round("cos", 6).alias("cos"), "rank")
 
 
+def _vector_index(spark, sf):
+    return vector_index.VectorIndex.build(_vectors(spark, sf).select(F.col("vec_id").alias("item_id"), "v"))
+
+
+def _hundredth(spark, sf):
+    return _vectors(spark, sf).where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "v")
+
+
+@query(SQL["vec_recall"])
+def vector_index_exact(spark, sf):
+    """The inverted-file index, cells probed until nothing better can be in the others."""
+    return _vector_index(spark, sf).search(_hundredth(spark, sf), 5).select("qid", "item_id", F.round("cos", 6).alias("cos"), "rank")
+
+
+@query(f"with {VECTORS} select count(*) as queries, 5 * count(*) as pairs, count(*) > 0 as reached from v where vec_id % 100 = 0")
+def vector_index_recall(spark, sf):
+    """Whether probing as many cells as a sample asks for finds 0.9 of the true neighbours."""
+    index, asked = _vector_index(spark, sf), _hundredth(spark, sf)
+    true = embed.nearest(asked, _vectors(spark, sf).select(F.col("vec_id").alias("item_id"), "v"), 5)
+    return vector_index.recall_at(index.search(asked, 5, index.probes_for(5)), true).select("queries", "pairs", (F.col("recall") >= 0.9).alias("reached"))
+
+
 @query(f"with {P.MIXED} select doc_id, ({S.fnv(f"coalesce(regexp_extract(text, '[^{S.B}]+'), '')")} % 6)::int as colour from m")
 def colour_class(spark, sf):
     return mixed(spark, sf).select("doc_id", embed.colour_class(F.col("text")).alias("colour"))
