@@ -7,7 +7,8 @@ question, so histories of different keys never meet.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -74,16 +75,44 @@ def rejected_pool(events: DataFrame) -> DataFrame:
     return latest(events.where("label = 'bad' and text <> ''").select("ts", "q", "text", "source"), MAX_REJECTED)
 
 
-def blocked_sets(events: DataFrame) -> DataFrame:
-    """(sig, blocked): of each question's rejected answers the texts, their sentences and parts, distinct, the latest 50."""
+def blocked_parts() -> Column:
+    """What a rejected answer blocks: its text, its sentences and parts, stripped, in this order."""
     text = F.coalesce("text", F.lit(""))
     parts = F.concat(F.array(text), T.feedback_sentences(text), F.coalesce("compose", F.array().cast("array<string>")))
-    rows = events.where("label = 'bad'").select("ts", T.signature(F.col("q")).alias("sig"), F.posexplode(F.filter(F.transform(parts, T.strip), lambda x: x != "")).alias("pos", "part"))
-    # a part stands where it came first; ranked before anything is gathered
-    first = rows.groupBy("sig", "part").agg(F.min(F.struct("ts", "pos")).alias("at"))
-    rank = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("at"), F.desc("part")))
-    kept = first.withColumn("rank", rank).where(F.col("rank") <= MAX_BLOCKED)
-    return kept.groupBy("sig").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]).alias("blocked"))
+    return F.array_distinct(F.filter(F.transform(parts, T.strip), lambda x: x != ""))
+
+
+def blocked_step(blocked: list[str], parts: list[str]) -> list[str]:
+    """The set after one more answer: parts that are not there come last, and the last MAX_BLOCKED stay."""
+    known = set(blocked)
+    return [*blocked, *(p for p in parts if p not in known)][-MAX_BLOCKED:]
+
+
+def blocked_sets(events: DataFrame) -> DataFrame:
+    """(sig, blocked): what each question's rejected answers block, in the order of ts (equal ones by parts).
+
+    A part that has fallen out of the set comes back with a later answer, so a
+    question's answers fold one after the other; they pass through a task in
+    order, and it holds one set and one batch of rows at a time.
+    """
+
+    def fold(batches):
+        sig, blocked, started = None, [], False
+        for batch in batches:
+            out = []
+            for key, parts in zip(batch["sig"], batch["parts"]):
+                if started and key != sig:
+                    out.append((sig, blocked))
+                    blocked = []
+                sig, started = key, True
+                blocked = blocked_step(blocked, list(parts))
+            yield pd.DataFrame(out, columns=["sig", "blocked"])
+        if started:
+            yield pd.DataFrame([(sig, blocked)], columns=["sig", "blocked"])
+
+    rows = events.where("label = 'bad'").select("ts", T.signature(F.col("q")).alias("sig"), blocked_parts().alias("parts"))
+    folded = rows.repartition("sig").sortWithinPartitions("sig", "ts", "parts").mapInPandas(fold, "sig string, blocked array<string>")
+    return folded.where(F.size("blocked") > 0)
 
 
 def not_blocked(candidates: DataFrame, blocked: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from ..operators import agent, ask, calc, chunk, corpus, embed, evaluate, feedba
 from ..operators import index as ix
 from ..operators import retrieve as rt
 from ..sources.tables import written, written_path
+from ..streaming import state as streamed
 from . import phrases as P
 from . import sql as S
 
@@ -802,23 +803,56 @@ def rejected_pool(spark, sf):
 
 
 BLOCKED = f"""
-bs as (select ts, {S.signature('q')} as sig, list_filter(list_transform(list_concat([text], {S.feedback_sentences('text')}), lambda x: {S.strip('x')}), lambda x: x <> '') as parts from e where label = 'bad'),
-bp as (select sig, ts, unnest(parts) as part, generate_subscripts(parts, 1) as pos from bs), bf as (select sig, part, min((ts, pos)) as fst from bp group by all),
-bl as (select * from (select *, row_number() over (partition by sig order by fst desc, part desc) as r from bf) where r <= 50)"""
+bs as (select ts, {S.signature('q')} as sig, list_filter(list_transform(list_concat([text], {S.feedback_sentences('text')}), lambda x: {S.strip('x')}), lambda x: x <> '') as p from e where label = 'bad'),
+bd as (select ts, sig, list_filter(p, lambda x, i: list_position(p, x) = i) as p from bs),
+bl as (select sig, list_reduce(list_prepend([]::varchar[], list(p order by ts, p)), lambda a, p: list_slice(list_concat(a, list_filter(p, lambda x: not list_contains(a, x))), -50, -1)) as blocked from bd group by sig),
+bp as (select sig, unnest(blocked) as part from bl)"""
 
 
-@query(f"with {EVENTS}, {BLOCKED} select sig, count(*)::int as n, md5(string_agg(part, chr(1) order by fst, part)) as blocked from bl group by all")
+@query(f"with {EVENTS}, {BLOCKED} select sig, len(blocked)::int as n, md5(array_to_string(blocked, chr(1))) as blocked from bl where len(blocked) > 0")
 def blocked_sets(spark, sf):
     return feedback.blocked_sets(_events(spark, sf)).select("sig", F.size("blocked").alias("n"), digest("blocked").alias("blocked"))
 
 
-@query(f"with {EVENTS}, {BLOCKED}, c as (select {S.signature('q')} as sig, unnest({S.feedback_sentences('text')}) as sentence from e) select sig, count(*) as n from c where not exists (select 1 from bl where bl.sig = c.sig and bl.part = c.sentence) group by all")
+@query(f"with {EVENTS}, {BLOCKED}, c as (select {S.signature('q')} as sig, unnest({S.feedback_sentences('text')}) as sentence from e) select sig, count(*) as n from c where not exists (select 1 from bp where bp.sig = c.sig and bp.part = c.sentence) group by all")
 def blocked_anti_join(spark, sf):
     e = _events(spark, sf)
     candidates = e.select(T.signature(F.col("q")).alias("sig"), F.explode(T.feedback_sentences(F.col("text"))).alias("sentence"))
     return feedback.not_blocked(candidates, feedback.blocked_sets(e)).groupBy("sig").agg(F.count("*").alias("n"))
 
 
+def _streamed(spark, sf, maker, schema):
+    """What a stream of the events has appended: they come in three parts, out of order, each in several micro-batches; the query is started again for the last part."""
+    folder, events = written_path(spark), _events(spark, sf).withColumn("ts", F.col("ts") + 1)  # times are after 1970
+    late = "36500 days"  # whatever the order
+    end = events.agg(F.coalesce(F.max("ts"), F.lit(0)).alias("ts")).select((F.col("ts") + 2 * 36500 * 86_400_000).alias("ts"), *(F.lit(None).cast(events.schema[c].dataType).alias(c) for c in events.columns[1:-1]), F.lit("tick").alias("label"))
+    for k, part in enumerate([*(events.where(F.pmod(F.xxhash64("ts"), F.lit(3)) == k) for k in range(3)), end]):
+        part.select(events.columns).write.mode("append").parquet(f"{folder}/in")
+        if k > 1:
+            files = len(spark.read.parquet(f"{folder}/in").inputFiles())
+            source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", -(-files // 3)).parquet(f"{folder}/in")
+            streamed.advance(maker(source, late), folder)
+    return streamed.appended(spark, folder, schema)
+
+
+@query(SQL["term_weights"])
+def streamed_term_weights(spark, sf):
+    return streamed.current(_streamed(spark, sf, streamed.stream_ordered_weights, "term string, ts long, w double"), "term").select("term", "w")
+
+
+@query(SQL["blocked_sets"])
+def streamed_blocked_sets(spark, sf):
+    sets = streamed.current(_streamed(spark, sf, streamed.stream_blocked_sets, "sig string, ts long, blocked array<string>"), "sig").where(F.size("blocked") > 0)
+    return sets.select("sig", F.size("blocked").alias("n"), digest("blocked").alias("blocked"))
+
+
+@query(f"select 'accepted' as pool, * from ({SQL['accepted_pool']}) union all select 'rejected', * from ({SQL['rejected_pool']}) union all select 'events', ts, q from ({SQL['event_log']})")
+def streamed_pools(spark, sf):
+    entered = _streamed(spark, sf, streamed.stream_pools, "pool string, ts long, q string, text string, source string, label string")
+    pools = [streamed.current_pool(entered, p).select(F.lit(p).alias("pool"), (F.col("ts") - 1).alias("ts"), md5(F.col("q" if p == "events" else "text")).alias("text")) for p in ("accepted", "rejected", "events")]
+    return pools[0].union(pools[1]).union(pools[2])
+
+
 @query(f"with {EVENTS} select sum((label = 'good')::int)::bigint as good, sum((label = 'bad')::int)::bigint as bad, count(*) as events from e")
 def feedback_stats(spark, sf):
     return feedback.stats(_events(spark, sf)).select("good", "bad", "events")
