@@ -9,6 +9,7 @@ from ..functions import text as T
 from .evaluate import intent_hallmark
 from .feedback import not_blocked
 from .index import CorpusIndex
+from .neural_lm import NeuralLM, sequence_scores
 from .retrieve import bm25_scores, query_terms, top_k
 
 # --- fixed values: marks of question intents in the order they are tried, words that say nothing of a topic, connectives ---
@@ -56,14 +57,15 @@ def ask_junk(sentence: Column) -> Column:
     return T.junk_sentence(s) | T.has(sentence, "るた[をがはに]")
 
 
-def answers(index: CorpusIndex, docs: DataFrame, queries: DataFrame, k: int = 5, boosts: DataFrame | None = None, blocked: DataFrame | None = None, recalled: DataFrame | None = None, junk=ask_junk) -> DataFrame:
+def answers(index: CorpusIndex, docs: DataFrame, queries: DataFrame, k: int = 5, boosts: DataFrame | None = None, blocked: DataFrame | None = None, recalled: DataFrame | None = None, junk=ask_junk, model: NeuralLM | None = None) -> DataFrame:
     """(qid, intent, text, source, weak) for each of the queries (qid, query).
 
     A recalled answer (qid, text) wins. Else sentences of the k best documents
     that are no junk and not blocked are ordered by whether they have the mark
     of the intent, by the distinct terms they share with the question, then by
-    rank and place, and taken until ENOUGH characters stand; without any the
-    answer is NONE and weak.
+    rank and place (with a model, by their mean log probability before these),
+    and taken until ENOUGH characters stand; without any the answer is NONE and
+    weak.
     """
     asked = queries.select("qid", "query", classify_intent(F.col("query")).alias("intent"))
     hits = top_k(bm25_scores(index, queries, boosts), k).select("qid", "doc_id", "rank")
@@ -74,7 +76,12 @@ def answers(index: CorpusIndex, docs: DataFrame, queries: DataFrame, k: int = 5,
     wanted = query_terms(queries).groupBy("qid").agg(F.collect_set("term").alias("wanted"))  # of one question
     scored = sents.join(wanted, "qid").join(asked.select("qid", "intent"), "qid")
     scored = scored.withColumn("overlap", F.size(F.array_intersect(T.terms(F.col("sentence")), F.col("wanted")))).where("overlap > 0")
-    order = Window.partitionBy("qid").orderBy(F.desc(intent_hallmark(F.col("intent"), F.col("sentence"))), F.desc("overlap"), "rank", "pos")
+    confidence = []
+    if model is not None:
+        likely = sequence_scores(model, scored.select("qid", "doc_id", "pos", F.col("sentence").alias("text")), "qid", "doc_id", "pos")
+        scored = scored.join(likely, ["qid", "doc_id", "pos"]).withColumn("confidence", F.round(F.col("log_prob") / F.greatest("n", F.lit(1)), 9))
+        confidence = [F.desc("confidence")]
+    order = Window.partitionBy("qid").orderBy(F.desc(intent_hallmark(F.col("intent"), F.col("sentence"))), F.desc("overlap"), *confidence, "rank", "pos")
     before = F.coalesce(F.sum(F.length("sentence")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     picked = scored.select("qid", "sentence", F.row_number().over(order).alias("n"), before.alias("before")).where(F.col("before") < ENOUGH)
     made = picked.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "sentence"))), lambda x: x["sentence"]), " ").alias("made"))

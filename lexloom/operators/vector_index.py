@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import written, written_path
+from ..sources.tables import one_thread, written, written_path
 from . import embed
 
 #: Bytes of centres, which are broadcast; rows of a cell and queries that meet in one group; rows a cell that centres are fitted on.
@@ -51,6 +51,7 @@ def fitted_centres(rows: DataFrame, cells: int, rounds: int = 8, seed: int = 0)
     order = F.xxhash64(F.lit(seed), "item_id")
     centres = unit_rows(pa.array([r.v for r in rows.where(F.exists("v", lambda x: x != 0)).orderBy(order, "item_id").limit(cells).collect()], pa.list_(pa.float64())))
     spark = rows.sparkSession
+    one_thread(spark)
 
     def sums(shared):
         def work(batches):
@@ -83,6 +84,7 @@ class VectorIndex:
     """Centres in order of their cells, and the folder of the rows, partitioned by cell."""
 
     def __init__(self, spark: SparkSession, centres: np.ndarray, path: str):
+        one_thread(spark)
         self.spark, self.centres, self.path = spark, centres, path
 
     @classmethod

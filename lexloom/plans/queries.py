@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import agent, ask, calc, chunk, corpus, embed, evaluate, feedback, lm, memory, rerank, vector_index
+from ..operators import agent, ask, calc, chunk, corpus, embed, evaluate, feedback, lm, memory, neural_lm, rerank, vector_index
 from ..operators import index as ix
 from ..operators import retrieve as rt
 from ..sources.tables import written, written_path
@@ -763,6 +763,21 @@ def repetition_penalty(spark, sf):
     return lm.penalized(lm.probabilities(lm.backoff(lm.ngram_counts(docs(spark, sf)), seeds)), counts, 1.5).select("sid", "tok", F.round(F.col("prob") + 1e-8, 6).alias("prob"))
 
 
+@query("select tok, n from (select tok, count(*) as n from (select unnest(regexp_extract_all(text, '[A-Za-z0-9'']+|[぀-ヿ一-鿿]|[、。，．！？!?…・]|\\n')) as tok from documents) group by tok) order by n desc, tok limit 479")
+def neural_vocabulary(spark, sf):
+    """The tokens that the neural model knows, with their counts."""
+    rows = docs(spark, sf)
+    known = spark.createDataFrame([(t,) for t in neural_lm.vocabulary(rows)], "tok string")
+    return lm.ngram_counts(rows).where("ord = 1").join(F.broadcast(known), "tok").select("tok", "n")
+
+
+@query()
+def neural_scores(spark, sf):
+    """Log probabilities of all documents under a model trained on all of them."""
+    model = neural_lm.trained(docs(spark, sf), steps=12)
+    return neural_lm.sequence_scores(model, docs(spark, sf), "doc_id").select("doc_id", "n", F.round("log_prob", 3).alias("log_prob"))
+
+
 # --- feedback ---
 
 
@@ -1149,6 +1164,13 @@ def ask_answers(spark, sf):
     return ask.answers(corpus_index(spark, sf), docs(spark, sf), asks, junk=_told)
 
 
+@query()
+def ask_reranked(spark, sf):
+    """Answers whose sentences are ordered by the neural model where marks and shared terms are equal."""
+    asks, rows = asked(spark, sf), docs(spark, sf)
+    return ask.answers(corpus_index(spark, sf), rows, asks, junk=_told, model=neural_lm.trained(rows, steps=12))
+
+
 @query()
 def ask_topics(spark, sf):
     rows = lone(spark, sf)

@@ -28,3 +28,8 @@ def written(df: DataFrame) -> DataFrame:
     path = written_path(spark)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def one_thread(spark: SparkSession) -> None:
+    """Python workers that start from now on use one thread for a matrix product: a machine runs as many tasks as it has cores."""
+    spark.sparkContext.environment.setdefault("OMP_NUM_THREADS", "1")
