@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import agent, ask, calc, chunk, corpus, embed, evaluate, feedback, lm, memory, neural_lm, rerank, vector_index
+from ..operators import agent, ask, calc, chunk, corpus, embed, evaluate, feedback, lm, memory, neural_lm, rerank, synonyms, vector_index
 from ..operators import index as ix
 from ..operators import retrieve as rt
 from ..sources.tables import written, written_path
@@ -527,6 +527,51 @@ def bm25_synonyms(spark, sf):
     return ranked(rt.bm25_scores(corpus_index(spark, sf), asks, synonyms=synonyms, damped=damped))
 
 
+PPMI = f"""
+tk as (select doc_id, term, i from (select doc_id, unnest(x) as term, generate_subscripts(x, 1) as i from (select doc_id, {S.terms('text')} as x from documents))),
+pr as (select least(a.term, b.term) as a, greatest(a.term, b.term) as b, count(*) as n from tk a join tk b on a.doc_id = b.doc_id and b.i in (a.i + 1, a.i + 2) where a.term <> b.term group by all having count(*) >= 5),
+co as (select a as term, b as context, n from pr union all select b, a, n from pr), mg as (select term, sum(n) as m from co group by all), tt as (select sum(m)::double as total from mg),
+pw as materialized (select * from (select co.term, co.context, round(ln(n * total / (x.m::double * y.m)), 9) as w from co join mg x on x.term = co.term join mg y on y.term = co.context cross join tt) where w > 0)"""
+LEARNT = f"""{PPMI}, ft as (select * from (select *, row_number() over (partition by term order by w desc, context) as r from pw) where r <= 50),
+uv as materialized (select term, context, w / sqrt(sum(w * w) over (partition by term)) as x from ft),
+sl as materialized (select a.term, b.term as other, round(sum(a.x * b.x), 9) as cos from uv a join uv b on a.context = b.context and a.term <> b.term group by all having round(sum(a.x * b.x), 9) >= 0.7)"""
+
+
+@query(f"with {PPMI} select term, context, round(w + 1e-10::double, 6) as w from pw")
+def ppmi_weights(spark, sf):
+    return synonyms.ppmi(synonyms.cooccurrences(docs(spark, sf))).select("term", "context", F.round(F.col("w") + 1e-10, 6).alias("w"))
+
+
+@query(f"with {LEARNT} select term, other, round(cos + 1e-10::double, 6) as cos from sl")
+def learnt_synonyms(spark, sf):
+    return synonyms.learnt(docs(spark, sf)).select("term", "other", F.round(F.col("cos") + 1e-10, 6).alias("cos"))
+
+
+@query(f"""with {LEARNT}, {S.INDEX}, {S.QUERIES}, sy as (select * from (select term, other as synonym, cos as weight, row_number() over (partition by term order by cos desc, other) as r from sl) where r <= 5),
+da as (select qid, term, max(boost) as boost from (select qid, term, 1.0::double as boost from q union all select q.qid, synonym, weight from q join sy on sy.term = q.term) group by all),
+sc as (select da.qid, tf.doc_id, round(sum(boost * {S.bm25(1.5, 0.75)}), 9) as score from da join tf on da.term = tf.term join df on df.term = tf.term join dl on dl.doc_id = tf.doc_id cross join st group by all) {S.top(5)}""")
+def bm25_learnt_synonyms(spark, sf):
+    """BM25 with each term's five nearest terms of the corpus."""
+    near = synonyms.synonyms(written(synonyms.learnt(docs(spark, sf))))
+    return ranked(rt.bm25_scores(corpus_index(spark, sf), asked(spark, sf), synonyms=near))
+
+
+@query()
+def term_senses(spark, sf):
+    """The senses of all terms that have similar ones."""
+    return synonyms.senses(written(synonyms.learnt(docs(spark, sf)))).select("term", "sense", F.array_join("members", " ").alias("members"), F.round("weight", 6).alias("weight"))
+
+
+@query()
+def bm25_fitting_senses(spark, sf):
+    """BM25 with the terms of the sense that goes best with the rest of the question."""
+    weights = written(synonyms.ppmi(synonyms.cooccurrences(docs(spark, sf))))
+    groups = written(synonyms.senses(written(synonyms.similar(synonyms.unit_vectors(weights)))))
+    asks = asked(spark, sf)
+    near = synonyms.fitting_synonyms(rt.query_terms(asks), groups, weights)
+    return ranked(rt.bm25_scores(corpus_index(spark, sf), asks, synonyms=near))
+
+
 # --- reranking and context ---
 
 
