@@ -5,7 +5,10 @@
    document can have from shared ones, and rare ones from frequent ones. Two
    sets with Jaccard similarity t share a shingle among the first
    n - ceil(t n) + 1 of either, in any common order; the order is by the
-   sketch's levels, unshared shingles first. Documents whose prefix holds
+   sketch's levels, unshared shingles first. Of the smaller set the first
+   n - ceil(2 t n / (1 + t)) + 1 are enough: shingles that no set has so far in
+   front are left out, so documents that share a passage and are not linked don't
+   meet over it. Documents whose prefix holds
    unshared shingles alone have no links. Counters that collide only make more
    candidates, so this loses no link.
 2. Equal sets become one node. The members of each prefix shingle elect a
@@ -34,6 +37,8 @@ and their windows.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -78,12 +83,18 @@ def overlaps(linked_num: int, linked_den: int, common, a, b):
     return linked_den * common >= linked_num * (a + b - common)
 
 
+def index_prefix(n: int, num: int, den: int) -> int:
+    """Shingles of a set of n, rarest first, of which it shares one with each linked set that is as large or larger."""
+    return n - -(-2 * num * n // (num + den)) + 1
+
+
 def join_region(sets: list[np.ndarray], num: int = 75, den: int = 100, active: np.ndarray | None = None) -> list[int]:
     """Components of the exact threshold join of some sets: for each the first member of its component.
 
-    Members come by size. Each meets the earlier ones that share one of its
-    rarest shingles (as many as a linked pair must share one of) and are not
-    too small. Its distance to the centres of their cells is computed first; a
+    Members come by size. Each meets the earlier ones that have one of its
+    rarest shingles (as many as a linked pair must share one of) among their
+    own, of which a smaller set needs fewer, that are not too small, and for
+    which enough shingles are left behind that one. Its distance to the centres of their cells is computed first; a
     member of another component is compared only if the triangle inequality
     leaves room for a link. A member within the radius of a centre joins its
     cell, others begin one. Members of one component are never compared again.
@@ -115,7 +126,7 @@ def join_region(sets: list[np.ndarray], num: int = 75, den: int = 100, active: n
     label = np.arange(n)
     members = {k: [k] for k in range(n)}
     centre, reach = np.arange(n), np.zeros(n)
-    postings: tuple[dict[int, list[int]], ...] = ({}, {})  # of passive and of active members
+    postings: tuple[dict[int, tuple[array, array]], ...] = ({}, {})  # members and the places of a shingle in them; of passive and of active members
 
     def union(a: int, b: int) -> None:
         a, b = int(label[a]), int(label[b])
@@ -128,13 +139,18 @@ def join_region(sets: list[np.ndarray], num: int = 75, den: int = 100, active: n
     for x in np.argsort(sizes, kind="stable").tolist():
         size = int(sizes[x])
         own = shared[x]
-        first = size - -(-num * size // den) + 1 - (size - len(own))  # after the shingles of x alone
+        alone = size - len(own)
+        first = size - -(-num * size // den) + 1 - alone  # after the shingles of x alone
         rare = own[np.lexsort((own, count[own]))[: max(0, first)]].tolist()
-        met = [k for t in rare for k in postings[1].get(t, ())]
-        if active[x]:
-            met += [k for t in rare for k in postings[0].get(t, ())]
-        met = np.unique(np.array(met, np.int64))
-        met = met[den * sizes[met] >= num * size]
+        met = [np.zeros(0, np.int64)]
+        for place, t in enumerate(rare):
+            for kind in (1, 0) if active[x] else (1,):
+                if t in postings[kind]:
+                    k, at = (np.frombuffer(a, np.int64) for a in postings[kind][t])
+                    left = np.minimum(size - alone - place, sizes[k] - at)  # most that the two can share
+                    met.append(k[((num + den) * left >= num * (size + sizes[k])) & (den * sizes[k] >= num * size)])
+        met = np.unique(np.concatenate(met))
+        k = at = left = None  # the buffers can grow again
         if len(met):
             mark[own] = True
 
@@ -153,8 +169,10 @@ def join_region(sets: list[np.ndarray], num: int = 75, den: int = 100, active: n
                 if label[k] != label[x] and abs(far[int(centre[k])] - reach[k]) <= radius + 1e-9 and compare(k)[1]:
                     union(x, k)
             mark[own] = False
-        for t in rare:
-            postings[int(active[x])].setdefault(t, []).append(x)
+        for place, t in enumerate(rare[: max(0, index_prefix(size, num, den) - alone)]):
+            k, at = postings[int(active[x])].setdefault(t, (array("q"), array("q")))
+            k.append(x)
+            at.append(alone + place)
     least = {}
     for k in range(n):
         least.setdefault(int(label[k]), k)
@@ -270,7 +288,7 @@ def jaccard_groups(docs: DataFrame, num: int = 75, den: int = 100, cell: int = C
         maps = bitmaps.value
         for batch in batches:
             for lo, hi, offsets, data in textkit.segments(batch.column(1)):
-                size, node, blobs, prefixes = [], [], [], []
+                size, node, blobs, prefixes, fronts = [], [], [], [], []
                 for s in shingle_sets(offsets, data):
                     n = len(s)
                     size.append(n)
@@ -278,6 +296,7 @@ def jaccard_groups(docs: DataFrame, num: int = 75, den: int = 100, cell: int = C
                         node.append(None)
                         blobs.append(None)
                         prefixes.append(None)
+                        fronts.append(None)
                         continue
                     node.append(int(textkit.mix(np.array([int(s.sum(dtype=np.uint64)) ^ int(np.bitwise_xor.reduce(textkit.mix(s))) * 3 + n & (1 << 64) - 1], np.uint64)).view(np.int64)[0]))
                     level = levels(maps, s, bits)
@@ -285,17 +304,20 @@ def jaccard_groups(docs: DataFrame, num: int = 75, den: int = 100, cell: int = C
                     if int((level == 0).sum()) >= first:
                         blobs.append(None)
                         prefixes.append(None)
+                        fronts.append(None)
                         continue
                     order = np.argsort(level, kind="stable")[:first]
                     blobs.append(s.astype("<u8").tobytes())
                     prefixes.append(s[order[level[order] > 0]].view(np.int64).tolist())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(blobs, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "shingles", "prefix"])
+                    fronts.append(int((level[order[: index_prefix(n, num, den)]] > 0).sum()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(blobs, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(fronts, pa.int32())], ["doc_id", "n_shingles", "node", "shingles", "prefix", "front"])
 
-    rows = textkit.saved(docs.mapInArrow(nodes, "doc_id long, n_shingles long, node long, shingles binary, prefix array<long>"))
+    rows = textkit.saved(docs.mapInArrow(nodes, "doc_id long, n_shingles long, node long, shingles binary, prefix array<long>, front int"))
     bitmaps.destroy()  # all that needs them is written
     candidates = rows.where("shingles is not null")
-    prefix = textkit.saved(candidates.select("node", F.explode("prefix").alias("token")).distinct())
-    pivots = textkit.saved(prefix.groupBy("token").agg(F.min("node").alias("region"), F.count("*").alias("m")).where("m > 1").select("token", "region"))
+    prefix = textkit.saved(candidates.select("node", "front", F.posexplode("prefix").alias("at", "token")).select("node", "token", (F.col("at") < F.col("front")).alias("front")).distinct())
+    # a shingle that is in front of no set brings no linked pair together
+    pivots = textkit.saved(prefix.groupBy("token").agg(F.min("node").alias("region"), F.count("*").alias("m"), F.max("front").alias("front")).where("m > 1 and front").select("token", "region"))
     met = prefix.join(pivots, "token").select("region", "node").distinct()
     # one document stands for a node
     chosen = candidates.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").cast("int").alias("n"))

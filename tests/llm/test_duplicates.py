@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -206,3 +207,72 @@ def test_op9(spark, docs, none, rows):
     got = site_lines.without_shared_lines(docs, 2, 16).select("doc_id", "n_lines", "n_removed", "text").collect()
     assert sorted(map(tuple, got), key=str) == brute_lines(kept, 2, 16)
     assert site_lines.without_shared_lines(none).count() == 0
+
+
+def roots_of_all_pairs(sets, num=75, den=100):
+    """The first member of each component, by comparing all pairs as an incidence matrix."""
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    rows = np.zeros((len(sets), int(column.max()) + 1), np.float32)
+    rows[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), column] = 1
+    common, size = rows @ rows.T, rows.sum(axis=1)
+    linked = den * common >= num * (size[:, None] + size - common)
+    root = np.arange(len(sets))
+    while True:
+        least = np.where(linked, root, len(sets)).min(axis=1)
+        if (least == root).all():
+            return root.tolist()
+        root = least
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_crowds_that_share_a_passage(seed):
+    """Members share 20 to 60 of their shingles with all others; own ones are alone, from a pool, or of near copies."""
+    r = np.random.default_rng(seed)
+    core, pool = r.integers(1, 1 << 63, 60, dtype=np.uint64), r.integers(1, 1 << 63, 700, dtype=np.uint64)
+    sets = []
+    for _ in range(500):
+        own = r.integers(1, 1 << 63, r.integers(0, 40), dtype=np.uint64) if r.random() < 0.5 else r.choice(pool, r.integers(1, 40))
+        sets.append(np.unique(np.concatenate((core[: r.integers(20, 61)], own))))
+        if r.random() < 0.3:
+            near = np.delete(sets[-1], r.choice(len(sets[-1]), len(sets[-1]) // r.integers(4, 9), replace=False))
+            sets.append(np.unique(np.concatenate((near, r.integers(1, 1 << 63, r.integers(0, 4), dtype=np.uint64)))))
+    order = r.permutation(len(sets))
+    sets = [sets[k] for k in order]
+    assert jaccard.join_region(sets) == roots_of_all_pairs(sets)
+    active = r.random(len(sets)) < 0.5
+    some = jaccard.join_region(sets, active=active)
+    assert len(set(some)) >= len(set(roots_of_all_pairs(sets)))
+    assert jaccard.join_region(sets, 1, 2) == roots_of_all_pairs(sets, 1, 2)
+
+
+def test_a_crowd_without_links_costs_little():
+    r = np.random.default_rng(9)
+    core = r.integers(1, 1 << 63, 30, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((core, r.integers(1, 1 << 63, 10, dtype=np.uint64)))) for _ in range(4000)]
+    began = time.process_time()
+    assert len(set(jaccard.join_region(sets))) == 4000
+    assert time.process_time() - began < 5
+
+
+def test_documents_that_share_a_passage(spark):
+    """The whole operator over many texts with one passage in common, near copies among them."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    passage = [word() for _ in range(60)]
+    rows = []
+    for k in range(1500):
+        own = [word() for _ in range(r.randint(4, 60))]
+        rows.append((k, " ".join(own[: len(own) // 2] + passage[: r.choice([40, 60])] + own[len(own) // 2 :])))
+        if k % 10 == 0:
+            near = rows[-1][1].split()
+            near[r.randrange(len(near))] = "changed"
+            rows.append((5000 + k, " ".join(near)))
+    found = {x.doc_id: x.component_id for x in jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), cell=3000).collect()}
+    shingles = lambda t: {" ".join(t[i : i + 5]) for i in range(len(t) - 4)}
+    numbers: dict[str, int] = {}
+    sets = [np.array(sorted(numbers.setdefault(g, len(numbers)) for g in shingles(t.split())), np.uint64) for _, t in rows]
+    roots, ids = roots_of_all_pairs(sets), [k for k, _ in rows]
+    least = {}
+    for k, root in zip(ids, roots):
+        least[root] = min(k, least.get(root, k))
+    assert found == {k: least[root] for k, root in zip(ids, roots)}
