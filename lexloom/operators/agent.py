@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -124,10 +124,17 @@ def suggestions(reflected: DataFrame) -> DataFrame:
     return reflected.select("goal_id", F.filter(lines, lambda x: x.isNotNull()).alias("suggestions"))
 
 
-def backoff_schedule(spark, attempts: int = 3, base_ms: int = 1000) -> DataFrame:
-    """(n, ok, backoff_ms): doubling waits until the last attempt succeeds."""
-    n = F.col("id") + 1
-    return spark.range(attempts).select(n.alias("n"), (n == attempts).alias("ok"), F.when(n == attempts, 0).otherwise(F.lit(base_ms) * F.pow(F.lit(2), F.col("id"))).cast("long").alias("backoff_ms"))
+def backoff_schedule(attempts: DataFrame, key: str, at: str, most: int = 3, base_ms: int = 1000) -> DataFrame:
+    """Attempts (key, at, ok) with n, the place of each in its run, and backoff_ms, a wait that doubles with n and is 0 after a success.
+
+    A run ends with a success, or after `most` attempts. Attempts of a key are
+    in the order of `at`, which is distinct; an unknown outcome (null) is a failure.
+    """
+    order = Window.partitionBy(key).orderBy(at)
+    done = F.coalesce(F.col("ok"), F.lit(False))
+    runs = attempts.withColumn("run", F.coalesce(F.sum(done.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    n = F.pmod(F.row_number().over(Window.partitionBy(key, "run").orderBy(at)) - 1, F.lit(most)) + 1
+    return runs.withColumn("n", n.cast("long")).withColumn("backoff_ms", F.when(done, F.lit(0.0)).otherwise(F.lit(base_ms) * F.pow(F.lit(2.0), F.col("n") - 1)).cast("long")).drop("run")
 
 
 def summary(traces: DataFrame) -> DataFrame:

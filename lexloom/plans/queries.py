@@ -1134,9 +1134,12 @@ def suggestions(spark, sf):
     return agent.suggestions(agent.reflect(agent.trace(_goals(spark, sf)))).withColumn("suggestions", digest("suggestions"))
 
 
-@query("select n::bigint as n, n = 3 as ok, (case when n = 3 then 0 else 1000 * power(2, n - 1) end)::bigint as backoff_ms from (select unnest([1, 2, 3]) as n)")
+@query("""with a as (select event_id, user_id, event_type <> 'error' as ok, sum((event_type <> 'error')::int) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as run from events),
+b as (select *, ((row_number() over (partition by user_id, coalesce(run, 0) order by event_id) - 1) % 3 + 1)::bigint as n from a) select event_id, user_id, n, ok, (case when ok then 0 else 1000 * power(2, n - 1) end)::bigint as backoff_ms from b""")
 def backoff_schedule(spark, sf):
-    return agent.backoff_schedule(spark)
+    """Waits after the errors of each user, in the order of their events."""
+    attempts = read(spark, sf, "events").select("event_id", "user_id", (F.col("event_type") != "error").alias("ok"))
+    return agent.backoff_schedule(attempts, "user_id", "event_id").select("event_id", "user_id", "n", "ok", "backoff_ms")
 
 
 # --- calculation ---

@@ -199,7 +199,9 @@ def test_agent(spark):
     counts = {r.goal_id: r for r in agent.reflect(trace).collect()}
     assert counts[1].actions == 4 and counts[2].actions == 4 and all(r.verified and r.n_suggestions == 5 for r in counts.values())
     assert all(len(r.suggestions) == 5 for r in agent.suggestions(agent.reflect(trace)).collect())
-    assert [tuple(r) for r in agent.backoff_schedule(spark).collect()] == [(1, False, 1000), (2, False, 2000), (3, True, 0)]
+    outcomes = [(1, k, ok) for k, ok in enumerate([False, False, True, True, None, False, False, False])] + [(2, 0, False)]
+    waits = agent.backoff_schedule(spark.createDataFrame(outcomes, "k long, at long, ok boolean"), "k", "at").orderBy("k", "at").collect()
+    assert [(r.n, r.backoff_ms) for r in waits] == [(1, 1000), (2, 2000), (3, 0), (1, 0), (1, 1000), (2, 2000), (3, 4000), (1, 1000), (1, 1000)]
     assert agent.summary(trace).where("goal_id = 1").first().iterations == 5
 
 
