@@ -26,7 +26,6 @@ from ..operators import feedback as B
 
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_ROCKS_CONF = "spark.sql.streaming.stateStore.rocksdb"
 #: Keys that the events of a pool are dealt to; each keeps as many as the pool.
 SHARDS = 16
 
@@ -144,7 +143,6 @@ def stream_stats(events: DataFrame, late: str = "1 hour") -> DataFrame:
 
 def _with_rocks(rows: DataFrame) -> DataFrame:
     rows.sparkSession.conf.set(_STORE, _ROCKS)  # map state and timers need it
-    rows.sparkSession.conf.set(f"{_ROCKS_CONF}.changelogCheckpointing.enabled", "true")  # a batch writes its changes, not the whole state
     return rows
 
 
