@@ -24,6 +24,7 @@ def plain(value):
 
 
 def normal(frame):
+    frame = frame.astype({c: "float64" for c, t in frame.dtypes.items() if str(t) in ("Int32", "Int64")})  # whole numbers with nulls, as Spark hands them over
     columns = sorted(frame.columns)
     return columns, sorted(tuple(map(plain, r)) for r in frame[columns].astype(object).itertuples(index=False))
 
