@@ -20,11 +20,11 @@ from __future__ import annotations
 
 import heapq
 import itertools
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import textkit
 
@@ -33,7 +33,7 @@ MARK = "▁"
 MEMO = 600_000
 #: Bytes of text at a time: the lattice's arrays take some forty times as much.
 PIECE = 1 << 18
-SCHEMA = "doc_id long, n_bytes long, n_pieces long, n_best int, scores array<double>, ids_crc32 long, second_crc32 long, round_trip boolean"
+SCHEMA = "doc_id long, n_bytes long, scores array<double>, ids array<binary>, decoded string, round_trip boolean"
 _lattices: dict[tuple[str, int], "Lattice"] = {}
 
 
@@ -150,6 +150,10 @@ class Lattice:
 
     def segment(self, offsets: np.ndarray, data: np.ndarray):
         """For each text: (ids, scores, ids of the second path or None, round trip); texts are a segment's."""
+        return [(found[0], scores, found[1] if len(found) > 1 else None, same) for found, scores, _, same in self.best_paths(offsets, data)]
+
+    def best_paths(self, offsets: np.ndarray, data: np.ndarray):
+        """For each text: (ids of each of the best paths, their scores, the text that the best one decodes to, round trip); texts are a segment's."""
         raw = data.tobytes()
         texts = [raw[a:b].decode("utf-8") for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
         norm = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
@@ -157,7 +161,7 @@ class Lattice:
         sizes = np.array([len(t) for t in norm])
         ends = np.cumsum(sizes)
         if not whole:
-            return [([], [0.0], None, True) for _ in texts]
+            return [([np.zeros(0, np.int32)], [0.0], "", True) for _ in texts]
         if self.known > MEMO or self.filled > 20 * MEMO:
             self.reset()
         points, cuts = self.split(whole)
@@ -185,17 +189,18 @@ class Lattice:
             mine = ids[total[a] : total[b]]
             base = float(self.best[at[a:b]].sum())
             combos = self.sums(at[a:b])
-            second = None
-            if len(combos) > 1:
+            found = [mine]
+            for _, way in combos[1:]:
                 pieces, done = [], total[a]
-                for x, r in combos[1][1]:
+                for x, r in way:
                     s = self.other_start[at[a + x], r - 1]
                     pieces += [ids[done : total[a + x]], self.ids[s : s + self.other_size[at[a + x], r - 1]]]
                     done = total[a + x + 1]
-                second = np.concatenate([*pieces, ids[done : total[b]]])
-            same = decoded[place : place + lengths[k]] == (b" " + text.encode() if text else b"")
+                found.append(np.concatenate([*pieces, ids[done : total[b]]]))
+            plain = decoded[place : place + lengths[k]]
+            same = plain == (b" " + text.encode() if text else b"")
             place += lengths[k]
-            out.append((mine, [base - loss for loss, _ in combos], second, same))
+            out.append((found, [base - loss for loss, _ in combos], text if same else plain[1:].decode("utf-8"), same))
         return out
 
     def sums(self, parts: np.ndarray) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
@@ -228,18 +233,16 @@ def lattice(path: str, n: int) -> Lattice:
     return _lattices[path, n]
 
 
-def crc(ids) -> int | None:
-    return None if ids is None else zlib.crc32(np.asarray(ids, "<u4").tobytes())
-
-
-def segmentations(docs: DataFrame, model: str, n: int = 4) -> DataFrame:
-    """The n best segmentations of each text: doc_id, n_bytes, n_pieces and crc32 of the best one's ids, the scores found, crc32 of the second's ids, and whether decoding gives the text back.
+def best_paths(docs: DataFrame, model: str, n: int = 4) -> DataFrame:
+    """The n best segmentations of each text: doc_id, n_bytes, scores, ids, decoded and whether that is the text.
 
-    One row for each row with a doc_id; rows without one are left out,
-    repeated rows give one row each. Null and empty texts have no pieces, one
-    score of 0 and no second path. A text that holds the space mark itself
-    decodes to blanks there, so its round_trip is false. Other columns are
-    ignored. The stage is a map over partitions, without a shuffle.
+    ids holds the piece ids of each path found, best first, as little-endian
+    32-bit integers; decoded is the text that they give back, the same for all
+    paths. One row for each row with a doc_id; rows without one are left out,
+    repeated rows give one row each. Null and empty texts have one path without
+    pieces, of score 0. A text that holds the space mark itself decodes to
+    blanks there, so its round_trip is false. Other columns are ignored. The
+    stage is a map over partitions, without a shuffle.
     """
     textkit.on_workers(docs.sparkSession)
 
@@ -247,18 +250,26 @@ def segmentations(docs: DataFrame, model: str, n: int = 4) -> DataFrame:
         finder = lattice(model, n)
         for batch in batches:
             for lo, hi, offsets, data in textkit.segments(batch.column(1), PIECE):
-                got = finder.segment(offsets, data)
+                got = finder.best_paths(offsets, data)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(lo, hi - lo), pa.array(np.diff(offsets)), pa.array([len(x[0]) for x in got], pa.int64()), pa.array([len(x[1]) for x in got], pa.int32()),
-                        pa.array([x[1] for x in got], pa.list_(pa.float64())), pa.array([crc(x[0]) for x in got], pa.int64()), pa.array([crc(x[2]) for x in got], pa.int64()), pa.array([x[3] for x in got], pa.bool_()),
+                        batch.column(0).slice(lo, hi - lo), pa.array(np.diff(offsets)), pa.array([x[1] for x in got], pa.list_(pa.float64())),
+                        pa.array([[ids.astype("<i4", copy=False).tobytes() for ids in x[0]] for x in got], pa.list_(pa.binary())), pa.array([x[2] for x in got], pa.string()), pa.array([x[3] for x in got], pa.bool_()),
                     ],
-                    ["doc_id", "n_bytes", "n_pieces", "n_best", "scores", "ids_crc32", "second_crc32", "round_trip"],
+                    ["doc_id", "n_bytes", "scores", "ids", "decoded", "round_trip"],
                 )
 
     return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(work, SCHEMA)
 
 
+def segmentations(docs: DataFrame, model: str, n: int = 4) -> DataFrame:
+    """What best_paths finds, in figures: doc_id, n_bytes, n_pieces and crc32 of the best path's ids, the scores found, crc32 of the second's ids (null without one), whether decoding gives the text back, and n_pieces and crc32 of each path."""
+    own = [F.transform("ids", lambda x: (F.octet_length(x) / 4).cast("long")).alias("path_pieces"), F.transform("ids", lambda x: F.crc32(x)).alias("path_crc32")]
+    rows = best_paths(docs, model, n).select("doc_id", "n_bytes", "scores", "round_trip", *own)
+    at = lambda c, k: F.get(c, F.lit(k))
+    return rows.select("doc_id", "n_bytes", at("path_pieces", 0).alias("n_pieces"), F.size("scores").alias("n_best"), "scores", at("path_crc32", 0).alias("ids_crc32"), at("path_crc32", 1).alias("second_crc32"), "round_trip", "path_pieces", "path_crc32")
+
+
 def op8_nbest_pieces(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

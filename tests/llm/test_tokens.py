@@ -152,3 +152,25 @@ def test_op8(docs, none, known):
     empty = [r for r in got if r.doc_id in (40, 41)]
     assert [(r.n_pieces, r.scores, r.second_crc32) for r in empty] == [(0, [0.0], None)] * 2
     assert nbest.segmentations(none, public.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_op8_gives_every_path_and_the_decoded_text(docs, known):
+    """All n paths come out, each a segmentation of the text with the score it is given."""
+    path = public.path("piece_bpe_32k.model")
+    lattice, texts = nbest.Lattice(path, 4), dict(known)
+    score = {k: s for k, s in lattice.pieces.values()}
+    figures = {(r.doc_id, r.ids_crc32): r for r in nbest.segmentations(docs, path).collect()}
+    n = 0
+    for r in nbest.best_paths(docs, path).collect():
+        assert r.decoded == texts[r.doc_id].replace("▁", " ") and len(r.ids) == len(r.scores) == len(set(map(bytes, r.ids)))
+        paths = [np.frombuffer(x, "<i4") for x in r.ids]
+        for ids, total in zip(paths, r.scores):
+            if len(ids):
+                raw, _ = lattice.decode(ids, np.array([0, len(ids)]))
+                assert raw == b" " + r.decoded.encode()
+            if all(int(k) in score for k in ids):
+                assert np.isclose(sum(score[int(k)] for k in ids), total)
+                n += 1
+        own = figures[r.doc_id, zlib.crc32(r.ids[0])]
+        assert own.path_pieces == [len(x) for x in paths] and own.path_crc32 == [zlib.crc32(x) for x in r.ids]
+    assert n > 80
