@@ -10,7 +10,7 @@ from .evaluate import intent_hallmark
 from .feedback import not_blocked
 from .index import CorpusIndex
 from .neural_lm import NeuralLM, sequence_scores
-from .retrieve import bm25_scores, query_terms, top_k
+from .retrieve import bm25_top, query_terms
 
 # --- fixed values: marks of question intents in the order they are tried, words that say nothing of a topic, connectives ---
 INTENTS = (
@@ -68,7 +68,7 @@ def answers(index: CorpusIndex, docs: DataFrame, queries: DataFrame, k: int = 5,
     weak.
     """
     asked = queries.select("qid", "query", classify_intent(F.col("query")).alias("intent"))
-    hits = top_k(bm25_scores(index, queries, boosts), k).select("qid", "doc_id", "rank")
+    hits = bm25_top(index, queries, k, boosts).select("qid", "doc_id", "rank")
     sents = hits.join(docs.select("doc_id", "text"), "doc_id").select("qid", "doc_id", "rank", F.posexplode(T.sentences(F.coalesce("text", F.lit("")))).alias("pos", "sentence")).where(~junk(F.col("sentence")))
     if blocked is not None:
         signed = sents.join(asked.select("qid", T.signature(F.col("query")).alias("sig")), "qid")
