@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,40 @@ def embeddings(docs: DataFrame, dim: int = 64) -> DataFrame:
     return rows.select("doc_id", dense.alias("embedding"))
 
 
+def fnv1a(texts: list[str]) -> np.ndarray:
+    """functions.text.fnv1a of many texts at once: 32-bit FNV-1a over UTF-16 code units."""
+    units = [t.encode("utf-16-le", "surrogatepass") for t in texts]
+    size = np.array([len(u) // 2 for u in units], np.int64)
+    order = np.argsort(-size, kind="stable")  # texts that have a next unit come first
+    begin, flat = (np.cumsum(size) - size)[order], np.frombuffer(b"".join(units), "<u2").astype(np.uint64)
+    left = len(texts) - np.searchsorted(np.sort(size), np.arange(size.max(initial=0)), side="right")
+    h = np.full(len(texts), 2166136261, np.uint64)
+    for k, n in enumerate(left.tolist()):
+        h[:n] = ((h[:n] ^ flat[begin[:n] + k]) * np.uint64(16777619)) & np.uint64(0xFFFFFFFF)
+    out = np.empty_like(h)
+    out[order] = h
+    return out.astype(np.int64)
+
+
+def token_id_sums(docs: DataFrame, size: int = 50_000) -> DataFrame:
+    """(doc_id, n, total, largest) over the ids of a text's distinct embedding tokens; each token of a batch is hashed once."""
+
+    def summed(batches):
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column(1)).fill_null(0).to_numpy()
+            words = batch.column(1).flatten().dictionary_encode()
+            ids = (fnv1a(words.dictionary.to_pylist()) % size)[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+            some = np.flatnonzero(sizes)
+            begin = (np.cumsum(sizes) - sizes)[some]
+            total, largest = (f.reduceat(ids, begin) if len(some) else ids for f in (np.add, np.maximum))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.array(sizes[some], pa.int64()), pa.array(total, pa.int64()), pa.array(largest, pa.int32())], ["doc_id", "n", "total", "largest"])
+
+    tokens = F.transform(F.array_distinct(T.embedding_tokens(F.col("text"))), F.lower)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", tokens.alias("t")).mapInArrow(summed, f"doc_id {kind}, n long, total long, largest int")
+    return rows.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("largest").alias("largest"))
+
+
 def nearest(queries: DataFrame, items: DataFrame, k: int = 5, min_cos: float | None = None) -> DataFrame:
     """(qid, item_id, cos, rank) by brute force over all items; rows: qid, v and item_id, v.
 
@@ -45,14 +81,71 @@ def nearest(queries: DataFrame, items: DataFrame, k: int = 5, min_cos: float | N
     """
     if (queries.agg(F.sum(8 * F.coalesce(F.size("v"), F.lit(0)) + 24)).first()[0] or 0) > QUERY_BYTES:
         raise ValueError(f"{QUERY_BYTES} bytes of queries at a time at most")
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("cos"), "item_id"))
+    if k and _plain(queries, "qid") and _plain(items, "item_id"):
+        found = _nearest_of_tasks(queries, items, k)
+        found = found if min_cos is None else found.where(F.col("cos") >= min_cos)
+        return found.withColumn("rank", rank).where(F.col("rank") <= k)
     q = queries.select("qid", F.col("v").alias("qv"))
     scored = items.select("item_id", "v").crossJoin(F.broadcast(q)).select("qid", "item_id", F.round(V.cosine(F.col("qv"), F.col("v")), 9).alias("cos"))
     if min_cos is not None:
         scored = scored.where(F.col("cos") >= min_cos)
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("cos"), "item_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k) if k else scored.withColumn("rank", rank)
 
 
+def _plain(rows: DataFrame, key: str) -> bool:
+    """Whether keys are whole numbers and vectors arrays of numbers of one size, without gaps."""
+    if rows.schema[key].dataType.typeName() not in ("long", "integer"):
+        return False
+    odd = F.col(key).isNull() | F.col("v").isNull() | F.exists("v", lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) > 1e100))
+    sizes = rows.agg(F.count("*"), F.sum(odd.cast("int")), F.min(F.size("v")), F.max(F.size("v"))).first()
+    return bool(sizes[0]) and not sizes[1] and sizes[2] == sizes[3] > 0
+
+
+def _nearest_of_tasks(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """(qid, item_id, cos): of each task the k nearest items of each query. A matrix product names them, and their cosines are then summed cell by cell as functions.vectors does."""
+    held = queries.select("qid", F.transform("v", lambda x: x.cast("double")).alias("v")).toArrow()
+    names, q = held.column(0).combine_chunks(), held.column(1).combine_chunks().flatten().to_numpy().reshape(len(held), -1)
+
+    def norms(x):
+        out = np.zeros(len(x))
+        for j in range(x.shape[1]):
+            out += x[:, j] * x[:, j]
+        return np.sqrt(out)
+
+    def best(batches):
+        size = norms(q)
+        unit = q / np.where(size == 0, 1.0, size)[:, None]
+        top, ids = np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int64)
+        for batch in batches:
+            doc, v = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+            length = norms(v)
+            scaled = (v / np.where(length == 0, 1.0, length)[:, None]).T
+            for lo in range(0, len(q), 256):
+                cos = unit[lo : lo + 256] @ scaled
+                least = top[lo : lo + 256, -1]
+                if len(doc) >= k:
+                    least = np.maximum(least, np.partition(cos, -k, axis=1)[:, -k])
+                row, at = np.nonzero(cos >= np.maximum(least, -2.0)[:, None] - 1e-8)
+                dots = np.zeros(len(row))
+                for j in range(v.shape[1]):
+                    dots += q[lo + row, j] * v[at, j]
+                n = size[lo + row] * length[at]
+                exact = np.round(np.where(n == 0, 0.0, dots / np.where(n == 0, 1.0, n)), 9)
+                bounds = np.searchsorted(row, np.arange(len(cos) + 1)).tolist()
+                for r, (a, b) in enumerate(zip(bounds, bounds[1:]), lo):
+                    if a < b:
+                        scores, docs = np.append(top[r], exact[a:b]), np.append(ids[r], doc[at[a:b]])
+                        kept = np.lexsort((docs, -scores))[:k]
+                        top[r], ids[r] = scores[kept], docs[kept]
+        r, at = np.nonzero(np.isfinite(top))
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(r)), pa.array(ids[r, at]).cast(kind), pa.array(top[r, at])], ["qid", "item_id", "cos"])
+
+    kind = pa.int32() if items.schema["item_id"].dataType.typeName() == "integer" else pa.int64()
+    types = [f"{c} {f.schema[c].dataType.simpleString()}" for c, f in (("qid", queries), ("item_id", items))]
+    return items.select("item_id", F.transform("v", lambda x: x.cast("double")).alias("v")).mapInArrow(best, ", ".join([*types, "cos double"]))
+
+
 def covariance(vectors: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Mean and centred scatter matrix from one aggregation over all rows (dim + dim^2 sums)."""
     long = vectors.select(F.transform("v", lambda x: x.cast("double")).alias("v"))
