@@ -156,7 +156,9 @@ def fluency(texts: DataFrame, model: DataFrame, unseen: float = -12.0) -> DataFr
 def choose_order(rows: DataFrame, model: DataFrame | None = None) -> DataFrame:
     """(doc_id, sentences, deinterleaved, ya, yb): the line order that yields more clean, more fluent sentences; rows: doc_id, body (lines)."""
     a, b = emit_sentences(F.col("body")), emit_sentences(deinterleaved(F.col("body")))
-    both = rows.select("doc_id", F.size("body").alias("n"), a.alias("a"), b.alias("b")).select("*", clean_yield(F.col("a")).alias("ya"), clean_yield(F.col("b")).alias("yb"))
+    once = lambda *columns: F.explode(F.array(F.struct(*columns))).alias("x")  # noqa: E731  filters on what follows are not pushed below it, where they would make the sentences again
+    both = rows.select("doc_id", F.size("body").alias("n"), once(a.alias("a"), b.alias("b"))).select("doc_id", "n", "x.*")
+    both = both.select("*", once(clean_yield(F.col("a")).alias("ya"), clean_yield(F.col("b")).alias("yb"))).select("doc_id", "n", "a", "b", "x.*")
     if model is not None:
         named = lambda side: both.select(F.concat(F.col("doc_id").cast("string"), F.lit(side)).alias("text_id"), F.array_join(side, "").alias("text"))
         scores = fluency(named("a").union(named("b")), model)
