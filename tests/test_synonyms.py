@@ -104,3 +104,36 @@ def test_senses_part_and_fit(spark, docs):
 def test_nothing_to_learn(spark):
     none = spark.createDataFrame([(1, None), (2, "alone"), (3, "")], "doc_id long, text string")
     assert S.learnt(none).collect() == [] and S.senses(S.learnt(none)).collect() == []
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_best_links_and_senses_come_from_vectors(spark, docs, monkeypatch, block):
+    """Blocks, the k best of a task, asked terms alone and senses made beside vectors give what all links give."""
+    monkeypatch.setattr(S, "BLOCK", block)
+    vectors = S.unit_vectors(S.ppmi(S.cooccurrences(docs, 2, 3))).cache()
+    rows = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
+    links = S.similar(vectors, 0.3).cache()
+    assert {(r.term, r.other): r.cos for r in links.collect()} == pytest.approx(brute_links(brute_weights(2, 3), 50, 0.3), abs=2e-9)
+    assert links.count() == links.select("term", "other").distinct().count()
+    held, asked = S.packed(vectors), spark.createDataFrame([("bank",), ("water",), ("unknown",)], "term string")
+    for k in (1, 2, 20):
+        assert rows(S.nearest(held, k, 0.3)) == rows(S.synonyms(links, k))
+        assert rows(S.nearest(held, k, 0.3, asked)) == rows(S.synonyms(links, k).join(asked, "term", "left_semi"))
+    assert rows(S.senses_of(held, 3, 0.3)) == rows(S.senses(links, 3))
+    assert rows(S.senses_of(held, 3, 0.3, asked)) == rows(S.senses(links, 3).join(asked, "term", "left_semi"))
+
+
+def test_pairs_are_counted_in_parts(spark, docs, monkeypatch):
+    """Counts that leave a task in several parts, and crowded buckets, change nothing."""
+    want = sorted(map(tuple, S.cooccurrences(docs, 3, 1).where("n >= 4").collect()))
+    monkeypatch.setattr(S, "HELD", 50)
+    monkeypatch.setattr(S, "KEYS", 2)
+    monkeypatch.setattr(S, "SMALLEST", 11)
+    monkeypatch.setattr(S, "LARGEST", 11)
+    assert sorted(map(tuple, S.cooccurrences(docs, 3, 4).collect())) == want and want
+
+
+def test_rare_pairs_and_all_links_are_not_shuffled(spark, sf_dir):
+    """Neither pairs of words as words of all texts nor links are dealt out and joined again."""
+    plan = S.learnt(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("MapInArrow")[0] and "Join" not in plan.split("MapInArrow")[0]
