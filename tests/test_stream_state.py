@@ -118,3 +118,23 @@ def test_counts(spark, tmp_path):
     last = {r.label: r.n for r in spark.sql("select label, max(n) as n from counts group by label").collect()}
     [want] = B.stats(spark.createDataFrame(events(), SCHEMA)).collect()
     assert last == {"good": want.good, "bad": want.bad}
+
+
+def test_steps_fold_by_halves():
+    """Composed steps of many codes equal a loop over them."""
+    r = random.Random(5)
+    code = sorted(r.choices(range(9), range(1, 10), k=700))
+    d = [r.choice([B.REWARD, -B.DECAY]) for _ in code]
+    want = [1.0, 2.5, 3.0] * 3
+    got = S.np.array(want)
+    for c, x in zip(code, d):
+        want[c] = max(B.BASE_TERM, min(B.MAX_TERM, want[c] + x))
+    S._folded(S.np.array(code), S.np.array(d), got)
+    assert got.tolist() == want
+
+
+def test_many_terms_share_a_key(spark, tmp_path):
+    """A key for each term would make the time of a micro-batch grow with the vocabulary."""
+    (tmp_path / "in").mkdir()
+    plan = S.stream_ordered_weights(stream(spark, tmp_path))._jdf.queryExecution().analyzed().toString()
+    assert "xxhash64(term" in plan
