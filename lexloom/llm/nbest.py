@@ -10,14 +10,16 @@ the score of the worst piece less 10.
 
 A border inside which no piece of the vocabulary reaches across cuts the
 lattice into independent ones. Each distinct part is searched once and its
-best paths kept in a bounded memo; the best paths of a text are the best sums
-of one path for each part, of which only those with the smallest losses can
-matter. Of texts of equal score, the one that departs from the best path at
+best paths kept in a bounded memo; parts of SHORT characters at most are
+searched BLOCK at a time, a step of all their searches in one array operation.
+The best paths of a text are the best sums of one path for each part, of which
+only those with the smallest losses can matter. Of texts of equal score, the one that departs from the best path at
 the earliest part comes first, at every length of text.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import itertools
 
@@ -31,8 +33,12 @@ from . import textkit
 MARK = "▁"
 #: Parts in the memo, some 170 bytes each; it is dropped when full.
 MEMO = 600_000
+#: Characters of the parts that are searched side by side, and how many of them; longer ones are searched one by one.
+SHORT, BLOCK = 48, 2048
 #: Bytes of text at a time: the lattice's arrays take some forty times as much.
 PIECE = 1 << 18
+#: Code points below this have a plain table of pairs that pieces hold.
+LOW = 1024
 SCHEMA = "doc_id long, n_bytes long, scores array<double>, ids array<binary>, decoded string, round_trip boolean"
 _lattices: dict[tuple[str, int], "Lattice"] = {}
 
@@ -60,7 +66,17 @@ class Lattice:
         self.unknown = min(scores) - 10.0
         self.longest = max(map(len, self.pieces))
         self.prefixes = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
+        state = {p: k for k, p in enumerate(sorted(self.prefixes), 1)}  # 0: nothing read
+        self.after = textkit.HashIndex(1 << (2 * len(state)).bit_length())  # by state and next character
+        self.after.put(self.step(np.array([state.get(p[:-1], 0) for p in state]), np.array([ord(p[-1]) for p in state])), np.array(list(state.values())))
+        self.state_piece, self.state_score = np.full(len(state) + 1, -1), np.zeros(len(state) + 1)
+        for p, (k, score) in self.pieces.items():
+            self.state_piece[state[p]], self.state_score[state[p]] = k, score
         inside = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
+        self.joint_low = np.zeros((LOW, LOW), bool)
+        for x in inside:
+            if max(map(ord, x)) < LOW:
+                self.joint_low[ord(x[0]), ord(x[1])] = True
         self.joint = np.sort(np.array([ord(x[0]) << 21 | ord(x[1]) for x in inside], np.int64))
         self.surface = np.frombuffer(b"".join(surface), np.uint8)
         self.surface_size = np.array([len(x) for x in surface], np.int64)
@@ -117,36 +133,139 @@ class Lattice:
                 heapq.heappush(heap, (-(ahead[i] + score + done), i, next(tick), score + done, (piece, chain)))
         return found
 
+    @staticmethod
+    def step(state: np.ndarray, point: np.ndarray) -> np.ndarray:
+        return ((state + 1) << 21 | point).astype(np.uint64)
+
+    def edges(self, points: np.ndarray, sizes: np.ndarray):
+        """Edges of the lattices of some parts, a row of points each, by end, part and begin: (part, begin, end, score, piece or -1 for a character that is none)."""
+        part, begin = np.nonzero(np.arange(points.shape[1]) < sizes[:, None])
+        single, state, end, found = np.zeros(points.shape, bool), np.zeros(len(part), np.int64), begin, []
+        whole = part, begin
+        while len(part):
+            state = self.after.find(self.step(state, points[part, end]))
+            on = np.flatnonzero(state > 0)
+            part, begin, state, end = part[on], begin[on], state[on], end[on] + 1
+            hit = self.state_piece[state] >= 0
+            found.append((part[hit], begin[hit], end[hit], self.state_score[state[hit]], self.state_piece[state[hit]]))
+            if len(found) == 1:
+                single[part[hit], begin[hit]] = True
+            on = np.flatnonzero(end < sizes[part])
+            part, begin, state, end = part[on], begin[on], state[on], end[on]
+        none = ~single[whole]
+        part, begin = whole[0][none], whole[1][none]
+        found.append((part, begin, begin + 1, np.full(len(part), self.unknown), np.full(len(part), -1)))
+        part, begin, end, score, piece = map(np.concatenate, zip(*found))
+        order = np.argsort((end * len(points) + part) * (points.shape[1] + 1) + begin)
+        return part[order], begin[order], end[order], score[order], piece[order]
+
+    def search(self, parts: list[str]):
+        """What paths finds, for many short parts at once: scores (-inf: none), numbers of ids, and all ids; by part, then best first."""
+        n, sizes = len(parts), np.array([len(x) for x in parts])
+        points = np.zeros((n, sizes.max()), np.int64)
+        points[np.arange(points.shape[1]) < sizes[:, None]] = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
+        part, begin, end, gain, piece = self.edges(points, sizes)
+        source = begin * n + part  # places are numbered by character, then part
+        first = np.concatenate(([0], np.cumsum(np.bincount(end * n + part, minlength=(points.shape[1] + 1) * n))))
+        ahead = np.zeros((points.shape[1] + 1) * n)
+        for j in range(1, points.shape[1] + 1):
+            a, b = first[j * n], first[(j + 1) * n]
+            starts = first[j * n : (j + 1) * n]
+            some = np.flatnonzero(first[j * n + 1 : (j + 1) * n + 1] > starts)
+            ahead[j * n + some] = np.maximum.reduceat(ahead[source[a:b]] + gain[a:b], starts[some] - a)
+        # column k of a row: the k-th place pushed by that part's search
+        cost, place, done = np.full((n, 32), np.inf), np.zeros((n, 32), np.int32), np.zeros((n, 32))
+        chain, edge = np.zeros((n, 32), np.int32), np.full((n, 32), -1, np.int32)
+        cost[:, 0], place[:, 0] = -ahead[sizes * n + np.arange(n)], sizes
+        pushed, count = np.ones(n, np.int64), np.zeros(n, np.int64)
+        scores, goal = np.full((n, self.n), -np.inf), np.zeros((n, self.n), np.int64)
+        rows = np.arange(n)
+        while len(rows):
+            open_ = cost[rows, : pushed[rows].max()]
+            least = open_.min(1)
+            column = np.where(open_ == least[:, None], place[rows, : open_.shape[1]], SHORT + 1).argmin(1)
+            rows, column, least = (x[least < np.inf] for x in (rows, column, least))
+            cost[rows, column] = np.inf
+            at = place[rows, column]
+            over = at == 0
+            ended = rows[over]
+            scores[ended, count[ended]], goal[ended, count[ended]] = -least[over], column[over]
+            count[ended] += 1
+            grown, column, at = rows[~over], column[~over], at[~over]
+            lo = first[at * n + grown]
+            more = first[at * n + grown + 1] - lo
+            row, back = np.repeat(grown, more), np.repeat(column, more)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(more) - more, more)
+            e, new = np.repeat(lo, more) + nth, np.repeat(pushed[grown], more) + nth
+            pushed[grown] += more
+            while (width := cost.shape[1]) < pushed.max():
+                cost, place, done, chain, edge = (np.concatenate([x, np.full((n, width), x.dtype.type(np.inf if x is cost else 0))], 1) for x in (cost, place, done, chain, edge))
+            so_far = done[row, back]
+            cost[row, new], place[row, new], done[row, new] = -(ahead[source[e]] + gain[e] + so_far), begin[e], gain[e] + so_far
+            chain[row, new], edge[row, new] = back, e
+            rows = rows[count[rows] < self.n]
+        row, rank = np.nonzero(scores > -np.inf)
+        column, path, taken = goal[row, rank], np.arange(len(row)), []
+        while len(path):
+            e = edge[row, column]
+            on = np.flatnonzero(e >= 0)
+            row, path = row[on], path[on]
+            taken.append((path, e[on]))
+            column = chain[row, column[on]]
+        path, e = map(np.concatenate, zip(*taken))
+        order = np.argsort(path, kind="stable")
+        path, e = path[order], e[order]
+        size, ids = np.ones(len(e), np.int64), piece[e]
+        odd = np.flatnonzero(ids < 0)
+        if len(odd):  # characters that are no piece: their bytes
+            raw = [chr(x).encode() for x in points[part[e[odd]], begin[e[odd]]].tolist()]
+            size[odd] = [len(x) for x in raw]
+            ids = np.repeat(ids, size)
+            ids[ids < 0] = np.array(self.byte)[np.frombuffer(b"".join(raw), np.uint8)]
+        return scores, np.bincount(path, size, minlength=int(count.sum())).astype(np.int64), ids
+
     def learn(self, hashes: np.ndarray, parts: list[str]) -> None:
         k, end = self.known, self.known + len(parts)
         while end > len(self.start):
             self.start, self.size, self.best = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.best))
             self.loss = np.concatenate([self.loss, np.zeros_like(self.loss)])
             self.other_start, self.other_size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.other_start, self.other_size))
-        flat: list[int] = []
-        for row, part in enumerate(parts, k):
-            found = self.paths(part)
-            self.best[row], ids = found[0]
-            self.start[row], self.size[row] = self.filled + len(flat), len(ids)
-            flat += ids
-            self.loss[row] = np.inf
-            for x, (score, ids) in enumerate(found[1:]):
-                self.loss[row, x] = found[0][0] - score
-                self.other_start[row, x], self.other_size[row, x] = self.filled + len(flat), len(ids)
-                flat += ids
-        while self.filled + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.filled : self.filled + len(flat)] = flat
-        self.filled += len(flat)
+        order = sorted(range(len(parts)), key=lambda x: len(parts[x]))
+        short = bisect.bisect_right(order, SHORT, key=lambda x: len(parts[x]))
+        for x in range(0, short, BLOCK):
+            some = order[x : min(x + BLOCK, short)]
+            self.keep(k + np.array(some), *self.search([parts[x] for x in some]))
+        for x in order[short:]:
+            found = self.paths(parts[x])
+            scores = np.full((1, self.n), -np.inf)
+            scores[0, : len(found)] = [score for score, _ in found]
+            self.keep(np.array([k + x]), scores, np.array([len(ids) for _, ids in found]), np.array([y for _, ids in found for y in ids]))
         self.known = end
         self.index.put(hashes, np.arange(k, end))
 
+    def keep(self, rows: np.ndarray, scores: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """Put what was found for some parts into the memo."""
+        while self.filled + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.filled : self.filled + len(ids)] = ids
+        size, there = np.zeros(scores.shape, np.int64), scores > -np.inf
+        size[there] = counts
+        start = self.filled + np.cumsum(size).reshape(size.shape) - size
+        self.filled += len(ids)
+        self.best[rows], self.start[rows], self.size[rows] = scores[:, 0], start[:, 0], size[:, 0]
+        self.loss[rows], self.other_start[rows], self.other_size[rows] = scores[:, :1] - scores[:, 1:], start[:, 1:], size[:, 1:]
+
     def split(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Code points of normalised text and where independent parts begin (text borders aside)."""
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        pair = points[:-1] << 21 | points[1:]
-        near = np.searchsorted(self.joint, pair).clip(max=len(self.joint) - 1)
-        return points, np.flatnonzero(self.joint[near] != pair) + 1
+        a, b = points[:-1], points[1:]
+        low = points < LOW
+        low = low[:-1] & low[1:]
+        joint = self.joint_low[np.where(low, a, 0), np.where(low, b, 0)]
+        high = np.flatnonzero(~low)
+        pair = a[high] << 21 | b[high]
+        joint[high] = self.joint[np.searchsorted(self.joint, pair).clip(max=len(self.joint) - 1)] == pair
+        return points, np.flatnonzero(~joint) + 1
 
     def segment(self, offsets: np.ndarray, data: np.ndarray):
         """For each text: (ids, scores, ids of the second path or None, round trip); texts are a segment's."""

@@ -145,6 +145,29 @@ def test_segmentations_are_the_best_ones():
             assert raw == b" " + text.encode() and list(second) != list(ids)
 
 
+def test_op8_searches_short_parts_side_by_side(monkeypatch):
+    """All searches of a block take a step together, and find what a search by itself finds, in its order."""
+    lattice = nbest.Lattice(public.path("piece_bpe_32k.model"), 4)
+    r = random.Random(11)
+    parts = ["".join(r.choice(letters) for _ in range(r.randint(1, nbest.SHORT))) for letters in ("theinonga", "aab", "é漢😀a▁", "\x00\n1.", "▁") for _ in range(120)]
+    parts += ["a" * k for k in range(1, nbest.SHORT + 1)]
+    scores, counts, ids = lattice.search(parts)
+    ends, at = np.cumsum(counts), 0
+    for part, mine in zip(parts, scores):
+        want = lattice.paths(part)
+        assert mine[: len(want)].tolist() == [s for s, _ in want] and (mine[len(want) :] == -np.inf).all()
+        for _, path in want:
+            assert ids[ends[at] - counts[at] : ends[at]].tolist() == path
+            at += 1
+    assert at == len(counts) and ends[-1] == len(ids)
+
+    alone, paths = [], lattice.paths
+    monkeypatch.setattr(lattice, "paths", lambda part: alone.append(part) or paths(part))
+    texts = ["The quick brown fox, which is by no means lazy, jumps over 13 dogs.", "b" + "a" * 200, ""]
+    got = lattice.best_paths(*textkit.text_buffer(pa.array(texts)))
+    assert [len(x[0]) for x in got] == [4, 4, 1] and alone and all(len(x) > nbest.SHORT for x in alone)
+
+
 def test_op8(docs, none, known):
     got = nbest.segmentations(docs, public.path("piece_bpe_32k.model")).collect()
     assert sorted(r.doc_id for r in got) == sorted(k for k, _ in known)
