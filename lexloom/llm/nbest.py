@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from . import textkit
 
 MARK = "▁"
-#: Parts in the memo, some 170 bytes each; it is dropped when full.
-MEMO = 600_000
+#: Parts in the memo, some 170 bytes each; it is dropped when full. Workers keep it beyond their tasks, so it is small.
+MEMO = 150_000
 #: Characters of the parts that are searched side by side, and how many of them; longer ones are searched one by one.
 SHORT, BLOCK = 48, 2048
 #: Bytes of text at a time: the lattice's arrays take some forty times as much.
